@@ -1,0 +1,49 @@
+"""Double-metaphone key.
+
+The key comes from the optional `metaphone` package on the executors; where it is not
+installed the key is '' and every rule that uses it is silent.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from scholarch.functions.text import normalize_text
+
+
+def metaphone_available() -> bool:
+    try:
+        import metaphone  # noqa: F401
+    except ImportError:
+        return False
+    return True
+
+
+@F.pandas_udf(StringType())
+def metaphone_of_normalized(norm: pd.Series) -> pd.Series:
+    try:
+        from metaphone import doublemetaphone
+    except ImportError:
+        return pd.Series([""] * len(norm))
+
+    def key(text: str) -> str:
+        primary, secondary = doublemetaphone(text) if text else ("", "")
+        return (primary or secondary or "").upper()
+
+    return norm.map(key)
+
+
+def with_metaphone(df: DataFrame, column: str, output: str) -> DataFrame:
+    """Add the key of `column`, running Python once per distinct normalised value."""
+    if not metaphone_available():
+        return df.withColumn(output, F.lit(""))
+    norm = normalize_text(F.col(column))
+    keys = (
+        df.select(norm.alias("_norm"))
+        .distinct()
+        .select("_norm", metaphone_of_normalized("_norm").alias(output))
+    )
+    return df.withColumn("_norm", norm).join(keys, "_norm", "left").drop("_norm")
