@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from scholarch.functions.text import trim_ws
 
-# fixed values: words that mark an unreadable reading
-UNCERTAIN_WORDS = ["uncertain", "illisible", "unknown", "?"]
-
-
 def _dotted(col: Column) -> Column:
     return F.replace(trim_ws(col), F.lit(","), F.lit("."))
 
@@ -31,8 +27,8 @@ def coerce_rank(col: Column) -> Column:
 
 def _finite(text: Column) -> Column:
     """Strict decimal text to double: nan/infinity spellings and type suffixes give null."""
-    strict = "^[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][-+]?[0-9]+)?$"
-    value = F.when(text.rlike(strict), text).try_cast("double")
+    strict = "^[-+]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][-+]?[0-9]+)?$"
+    value = F.regexp_extract(text, strict, 0).try_cast("double")
     return F.when(F.abs(value) < float("inf"), value)
 
 
@@ -51,30 +47,24 @@ def tri(value: Column, uncertain: Column) -> Column:
     return F.struct(value.cast("double").alias("value"), uncertain.alias("uncertain"))
 
 
-def _tri_state(col: Column, readable: Column, value: Column) -> Column:
-    text = trim_ws(col)
-    absent = col.isNull() | (text == "")
-    marked = F.lower(text).isin(UNCERTAIN_WORDS)
-    good = ~absent & ~marked & readable & value.isNotNull()
-    return tri(F.when(good, value), ~absent & ~good)
+def _read(col: Column, value: Column) -> Column:
+    """Tri-state of a text and the value read from it: marker words and misreads are uncertain."""
+    return tri(value, F.coalesce((trim_ws(col) != "") & value.isNull(), F.lit(False)))
 
 
 def number_or_uncertain(col: Column) -> Column:
-    text = _dotted(col)
-    return _tri_state(col, text.rlike("^[-+]?[0-9]+(\\.[0-9]+)?$"), text.try_cast("double"))
+    return _read(col, F.regexp_extract(_dotted(col), "^[-+]?[0-9]+(?:\\.[0-9]+)?$", 0).try_cast("double"))
 
 
 def natural_or_uncertain(col: Column) -> Column:
-    """number_or_uncertain cut to a whole number; negatives are uncertain."""
-    number = number_or_uncertain(col)
-    whole = F.when(number["value"] >= 0, F.floor(number["value"])).when(number["value"] > -1, F.lit(0))
-    return tri(whole, number["uncertain"] | (number["value"].isNotNull() & whole.isNull()))
+    """number_or_uncertain cut to its whole part; negatives (whole part below zero) are uncertain."""
+    whole = "^(?:\\+?|-(?=0+(?:\\.|$)))([0-9]+)(?:\\.[0-9]+)?$"
+    return _read(col, F.regexp_extract(_dotted(col), whole, 1).try_cast("double"))
 
 
 def decimal_avg_or_uncertain(col: Column) -> Column:
     """Only readings written with a decimal separator count; whole numbers are uncertain."""
-    text = trim_ws(col)
-    return _tri_state(col, text.rlike("^[-+]?[0-9]+[.,][0-9]+$"), _dotted(col).try_cast("double"))
+    return _read(col, F.regexp_extract(_dotted(col), "^[-+]?[0-9]+\\.[0-9]+$", 0).try_cast("double"))
 
 
 def format_academic(value: Column) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Python's idea of white space, as a Java character class.
+# Python's idea of white space, as a Java character class and as a set of characters.
 WS = "[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]"
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 @lru_cache(maxsize=1)
@@ -79,7 +80,7 @@ def normalize_text_exact(values: pd.Series) -> pd.Series:
 
 
 def trim_ws(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{WS}+|{WS}+$", "")
+    return F.btrim(col, F.lit(WS_CHARS))
 
 
 def blank_to_null(col: Column) -> Column:

@@ -20,16 +20,8 @@ MIN_CODE_SCORE = 0.72
 MIN_NAME_RATIO = 0.75
 
 
-def select_module_table(pages: DataFrame, stop: int = STOP_COUNT) -> DataFrame:
-    """Per document the subject table to trust.
-
-    Pages are visited 2, 1, 3, 4, ... and the visit ends at the first page with at least
-    `stop` modules; otherwise the fullest page (earliest visit on ties) wins.  A document
-    without any module gives no row.  Only counts take part in the aggregate.
-    """
+def _trusted_tables(pages: DataFrame, stop: int) -> DataFrame:
     doc = ["batch_id", "file_name"]
-    counted = normalize_module_table(pages).select(*PAGE_KEYS, "n_modules")
-    numbered = pages.select(*PAGE_KEYS)
     second = (
         _rank_in_document(pages.select(*PAGE_KEYS), 2, doc)
         .groupBy(*doc)
@@ -43,14 +35,25 @@ def select_module_table(pages: DataFrame, stop: int = STOP_COUNT) -> DataFrame:
         visit.alias("visit"),
     )
     return (
-        counted.join(second, doc, "left")
+        normalize_module_table(pages)
         .filter("n_modules > 0")
+        .join(second, doc, "left")
         .groupBy(*doc)
-        .agg(F.min_by(F.struct("page_number", "n_modules"), order).alias("best"))
-        .select(*doc, "best.page_number", "best.n_modules")
+        .agg(F.min_by(F.struct("page_number", "n_modules", "matieres"), order).alias("best"))
+        .select(*doc, "best.*")
     )
 
 
+def select_module_table(pages: DataFrame, stop: int = STOP_COUNT) -> DataFrame:
+    """Per document the subject table to trust.
+
+    Pages are visited 2, 1, 3, 4, ... and the visit ends at the first page with at least
+    `stop` modules; otherwise the fullest page (earliest visit on ties) wins.  A document
+    without any module gives no row.
+    """
+    return _trusted_tables(pages, stop).select(*PAGE_KEYS, "n_modules")
+
+
 def distinct_pair_scores(pairs: DataFrame, left: str, right: str, name: bool = False) -> DataFrame:
     """(left, right, score) for the distinct pairs only."""
     distinct = pairs.select(left, right).distinct()
@@ -72,26 +75,42 @@ def best_fuzzy_code(candidates: DataFrame, keys: list[str], source: str, target:
     )
 
 
-def align_modules_exact(modules: DataFrame, expected: DataFrame, student: list[str], doc: list[str]) -> DataFrame:
-    """Expected codes x student, with the student's first module of the same code, else empty.
+def _is_code(key: Column) -> Column:
+    return ~key.isin("", "UNCERTAIN")
 
-    `modules`: student keys, pos, code, note_s1, note_s2; `expected`: doc keys, epos, code.
-    """
-    key = normalize_code(F.col("code"))
-    mine = (
-        modules.withColumn("ckey", key)
-        .filter(~F.col("ckey").isin("", "UNCERTAIN"))
-        .groupBy(*student, "ckey")
-        .agg(F.min_by(F.struct("pos", "note_s1", "note_s2"), "pos").alias("m"))
+
+def exact_positions(codes: str, wanted: str) -> Column:
+    """Per wanted code the position of the first module with that code, -1 if there is none."""
+    return F.transform(
+        wanted,
+        lambda w: F.when(_is_code(w), (F.array_position(codes, w) - 1).cast("int")).otherwise(F.lit(-1)),
+    )
+
+
+def _with_keys(df: DataFrame, modules: str, expected: str) -> DataFrame:
+    usable = F.filter(expected, lambda c: normalize_code(c) != "")
+    return df.withColumn(expected, usable).withColumns(
+        {
+            "_codes": F.transform(modules, lambda m: normalize_code(m["code"])),
+            "_wanted": F.transform(expected, normalize_code),
+        }
     )
-    wanted = expected.withColumn("ckey", key).filter("ckey <> ''").withColumnRenamed("code", "expected_code")
-    frame = modules.select(*student).distinct().join(wanted, doc)
-    return frame.join(mine, [*student, "ckey"], "left").select(
-        *student, "epos", "expected_code", F.col("m.pos").alias("source_pos"), F.col("m.note_s1").alias("note_s1"), F.col("m.note_s2").alias("note_s2")
+
+
+def _zipped(expected: str, positions: Column) -> Column:
+    return F.transform(
+        F.arrays_zip(F.col(expected).alias("code"), positions.alias("source_pos")),
+        lambda x, i: F.struct(i.alias("epos"), x["code"].alias("code"), x["source_pos"].alias("source_pos")),
     )
 
 
-def align_in_row(df: DataFrame, modules: str, expected: str, output: str = "aligned") -> DataFrame:
+def align_modules_exact(df: DataFrame, modules: str, expected: str, output: str = "aligned") -> DataFrame:
+    """The exact phase alone: expected order, first module of the same code, -1 = missing."""
+    base = _with_keys(df, modules, expected)
+    return base.withColumn(output, _zipped(expected, exact_positions("_codes", "_wanted"))).drop("_codes", "_wanted")
+
+
+def align_modules(df: DataFrame, modules: str, expected: str, output: str = "aligned") -> DataFrame:
     """Align each row's `modules` array with its `expected` code array, both in list order.
 
     Exact codes first (first module wins), then the remaining modules in order take the
@@ -100,28 +119,27 @@ def align_in_row(df: DataFrame, modules: str, expected: str, output: str = "alig
     Only the leftover step runs in Python, Arrow-batched; a row is one student of one page,
     so both lists are short and no grouping or shuffle is needed.
     """
-    codes = F.transform(modules, lambda m: normalize_code(m["code"]))
-    wanted = F.transform(expected, normalize_code)
-    base = df.withColumns({"_codes": codes, "_wanted": wanted})
-
-    def is_code(c: Column) -> Column:
-        return ~c.isin("", "UNCERTAIN")
-
-    # first module position per expected code (exact), -1 if none; repeated codes share it
-    exact = F.transform(
-        "_wanted",
-        lambda w: F.when(is_code(w), (F.array_position("_codes", w) - 1).cast("int")).otherwise(F.lit(-1)),
-    )
-    base = base.withColumn("_exact", exact)
+    base = _with_keys(df, modules, expected).withColumn("_exact", exact_positions("_codes", "_wanted"))
     listed = F.transform("_codes", lambda c, i: F.struct(i.alias("i"), c.alias("c")))
-    rest = F.filter(listed, lambda x: is_code(x["c"]) & ~F.array_contains("_exact", x["i"]))
+    rest = F.filter(listed, lambda x: _is_code(x["c"]) & ~F.array_contains("_exact", x["i"]))
     base = base.withColumn("_rest", rest)
     positions = assign_remaining(F.col("_wanted"), F.col("_exact"), F.col("_rest.i"), F.col("_rest.c"))
-    aligned = F.transform(
-        F.arrays_zip(F.col(expected).alias("code"), positions.alias("source_pos")),
-        lambda x, i: F.struct(i.alias("epos"), x["code"].alias("code"), x["source_pos"].alias("source_pos")),
+    return (
+        base.withColumn("_positions", positions)
+        .withColumn(output, _zipped(expected, F.col("_positions")))
+        .drop("_codes", "_wanted", "_exact", "_rest", "_positions")
     )
-    return base.withColumn(output, aligned).drop("_codes", "_wanted", "_exact", "_rest")
+
+
+def with_expected_modules(rows: DataFrame, pages: DataFrame, stop: int = STOP_COUNT) -> DataFrame:
+    """Join each document's trusted subject table: `expected` codes and `coefficients`.
+
+    The table side has one row per document, so a document with very many student rows
+    stays a plain skew-splittable equi-join.
+    """
+    doc = ["batch_id", "file_name"]
+    chosen = _trusted_tables(pages, stop).select(*doc, "matieres")
+    return rows.join(chosen, doc).withColumn("expected", F.col("matieres.abrev")).withColumn("coefficients", F.col("matieres.coef")).drop("matieres")
 
 
 def coefficient_gate(note: Column, note_uncertain: Column, coef: Column, coef_uncertain: Column) -> Column:

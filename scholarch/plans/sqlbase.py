@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from scholarch.sources.adapters import CODES, DECISIONS, RANKS, READINGS, SECTION_CODES, TYPES
+from scholarch.sources.adapters import CODES, DECISIONS, RANKS, READINGS, SECTION_CODES, SINGLE_NAMES, TABLE_CODES, TYPES
 
 WS_RE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 
@@ -66,7 +66,9 @@ def finite(x: str) -> str:
     return f"CASE WHEN {x} = '' THEN NULL WHEN {trim_ws(x)} = '' THEN 0.0 ELSE {strict_number(trim_ws(x))} END"
 
 
-MARKED = "('uncertain','illisible','unknown','?')"
+def rnd(x: str, n: int) -> str:
+    """Half-up on the decimal digits, independent of the binary form."""
+    return f"round(({x})::DECIMAL(18,8), {n})::DOUBLE"
 
 
 def number_value(x: str) -> str:
@@ -115,7 +117,12 @@ def letters(x: str) -> str:
 
 
 def _module_fields(x: str, single: bool) -> str:
-    named = f"CASE WHEN ({x}) % 16 = 7 THEN 'Module ' || (j + 1)::VARCHAR END AS name"
+    plain = pick("j", *SINGLE_NAMES)
+    named = (
+        f"CASE WHEN (k + j) % 7 = 0 THEN '' WHEN (k // 8 + j) % 5 = 0 THEN replace({plain}, 'i', '1') ELSE {plain} END AS name"
+        if single
+        else f"CASE WHEN ({x}) % 16 = 7 THEN 'Module ' || (j + 1)::VARCHAR END AS name"
+    )
     coef = f"CASE WHEN ({x}) % 4 = 0 THEN (({x}) % 7)::VARCHAR END AS coef"
     notes = f"{raw_number(f'({x})*3+1')} AS s1, {raw_number(f'({x})*3+2')} AS s2"
     extra = (
@@ -256,7 +263,7 @@ CTES: dict[str, str] = {
   SELECT k, c, i, s, batch_id, file_name, page_number, type, j, {_module_fields('s*4+j', False)}
   FROM student, unnest(range(0, k % 4 + 1)) AS u(j)""",
     "matiere_row": f"""
-  SELECT k, c, batch_id, file_name, page_number, j, CASE WHEN (k + j) % 9 = 0 THEN '' ELSE substr({letters('k+100')}, 1, 2) || j::VARCHAR END AS abrev,
+  SELECT k, c, batch_id, file_name, page_number, j, CASE WHEN (k + j) % 9 = 0 THEN '' ELSE {pick('j', *TABLE_CODES)} END AS abrev,
          CASE WHEN (k + j) % 18 = 0 THEN '' ELSE 'Matière ' || j::VARCHAR END AS libelle, {raw_number('k+j')} AS c1, {raw_number('k+j+1')} AS c2,
          {', '.join(f"{raw_number(f'k*7+j+{n}')} AS v{n}" for n in range(6))}
   FROM page, unnest(range(0, 2 + (k // 8) % 10 + 1)) AS u(j) WHERE type = 'table_de_matieres'""",

@@ -369,6 +369,8 @@ class Archive:
 
 # fixed values of the page documents ------------------------------------------------------
 CODES = ("MAT", "FOR", "PLI", "GES", "S/G", "ANG", "str ", None)
+TABLE_CODES = ("MAT", "FOR", "PL1", "GES", "ANG", "STR", "DEC", "STH", "IST", "STA", "CBB", "ASS")
+SINGLE_NAMES = ("Mathematiques", "Physique", "Chimie", "Anglais", "Statistique")
 DECISIONS = ("Admis", "Eliminé", "Non admis", "Passage conditionnel", "Ajourné", "illisible", None, "")
 TYPES = ("cover", "resultats_annonce", "table_de_matieres", "unknown", "single_student") + ("multiple_students",) * 3
 SECTION_CODES = ("2_I. TRC", "2 I TRC", None, "77-1I-TRC", "", "section")
@@ -410,18 +412,20 @@ def _named(**fields: str) -> str:
     return "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")"
 
 
-def _module(x: str, notes: dict[str, str]) -> str:
+def _module(x: str, name: str, notes: dict[str, str]) -> str:
     return _named(
         code=_pick(x, CODES),
-        name=f"if({x} % 16 = 7, concat('Module ', j + 1), null)",
+        name=name,
         coef=f"if({x} % 4 = 0, string({x} % 7), null)",
         **notes,
     )
 
 
-_STUDENT_MODULE = _module("(s * 4 + j)", {"noteS1": _raw("(s * 4 + j) * 3 + 1"), "noteS2": _raw("(s * 4 + j) * 3 + 2")})
+_STUDENT_MODULE = _module("(s * 4 + j)", "if((s * 4 + j) % 16 = 7, concat('Module ', j + 1), null)", {"noteS1": _raw("(s * 4 + j) * 3 + 1"), "noteS2": _raw("(s * 4 + j) * 3 + 2")})
+_PLAIN = _pick("j", SINGLE_NAMES)
 _SINGLE_MODULE = _module(
     "(k * 4 + j)",
+    f"CASE WHEN (k + j) % 7 = 0 THEN '' WHEN (k div 8 + j) % 5 = 0 THEN replace({_PLAIN}, 'i', '1') ELSE {_PLAIN} END",
     {
         "note_s1": _raw("(k * 4 + j) * 3 + 1"),
         "note_s2": _raw("(k * 4 + j) * 3 + 2"),
@@ -444,7 +448,7 @@ _STUDENT = _named(
 )
 _AVERAGES = ("S1", "S1_80pct", "S2", "S2_80pct", "annuel", "annuel_80pct")
 _MATIERE = _named(
-    abrev=f"if((k + j) % 9 = 0, '', concat(substr({_letters('k + 100')}, 1, 2), j))",
+    abrev=f"if((k + j) % 9 = 0, '', {_pick('j', TABLE_CODES)})",
     libelle="if((k + j) % 18 = 0, '', concat('Matière ', j))",
     coef=_named(S1=_raw("k + j"), S2=_raw("k + j + 1")),
     moyenne=_named(**{name: _raw(f"k * 7 + j + {n}") for n, name in enumerate(_AVERAGES)}),
