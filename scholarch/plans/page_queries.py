@@ -32,11 +32,18 @@ UNIFIED = f"""
 CELLS = """
   SELECT k, i, j, coalesce(nullif(code, ''), nullif(name, ''), '') AS code, s1, s2, code AS rawcode, name, coef FROM student_module WHERE type = 'multiple_students'
   UNION ALL SELECT k, 0, j, coalesce(nullif(code, ''), nullif(name, ''), ''), s1, s2, code, name, coef FROM single_module"""
+
+
+def _mean(x: str) -> str:
+    """Left-to-right sum over the position order, then divided (bit for bit the Spark fold)."""
+    return f"list_reduce(list({x} ORDER BY j) FILTER (({x}) IS NOT NULL), lambda p, q: p + q) / count({x})"
+
+
 SUMMARY = f"""
   SELECT k, i, nom, prenom, coalesce(matricule, '') AS matricule, a1 AS avg_s1, a2 AS avg_s2, coalesce(annual_avg, (a1 + a2) / 2, a1, a2) AS annual_avg, rank_s1, rank_s2, annual_rank,
          coalesce({_FNE('decision_june', 'decision')}, '') AS decision_june, coalesce(stage, '') AS stage, coalesce({_FNE('final_decision', 'decision')}, '') AS final_decision
   FROM (SELECT u.*, coalesce(u.avg_s1, m.v1) AS a1, coalesce(u.avg_s2, m.v2) AS a2
-        FROM unified u LEFT JOIN (SELECT k, i, avg({S.finite('s1')}) AS v1, avg({S.finite('s2')}) AS v2 FROM cells GROUP BY ALL) m ON u.k = m.k AND u.i = m.i)"""
+        FROM unified u LEFT JOIN (SELECT k, i, {_mean(S.finite('s1'))} AS v1, {_mean(S.finite('s2'))} AS v2 FROM cells GROUP BY ALL) m ON u.k = m.k AND u.i = m.i)"""
 _LABEL = "trim(regexp_replace(coalesce(nullif(rawcode,''), nullif(name,''), 'Module ' || (j+1)::VARCHAR), '\\s+', ' ', 'g'))"
 DEFS = f"""
   SELECT k, j AS pos, arg_min({_LABEL}, i) FILTER ({_LABEL} <> '') AS label, arg_min(coef, i) FILTER (coef IS NOT NULL) AS coefficient FROM cells GROUP BY k, j"""
@@ -128,7 +135,7 @@ _GRID = """
     cells=", ".join(f"coalesce(CASE WHEN sem = 'S1' THEN c{i}.s1 ELSE c{i}.s2 END, '') AS module_{i}" for i in range(GRID_WIDTH)),
     joins=" ".join(f"LEFT JOIN cells c{i} ON c{i}.k = s.k AND c{i}.i = s.i AND c{i}.j = {i}" for i in range(GRID_WIDTH)),
 )
-_SHOW = "coalesce(printf('%.2f', round(({0})::DECIMAL(18,8), 2)::DOUBLE), '')"
+_SHOW = "coalesce(printf('%.2f', " + S.rnd("{0}", 2) + "), '')"
 
 
 @register(
@@ -286,7 +293,7 @@ def averages_match(a):
 
 @register(
     "fix_annual_average",
-    "SELECT s, CASE WHEN v1 IS NOT NULL AND v2 IS NOT NULL AND NOT coalesce(abs((v1 + v2) / 2 - va) <= 0.011, false) THEN round(((v1 + v2) / 2)::DECIMAL(18,8), 2)::DOUBLE ELSE va END AS value, CASE WHEN v1 IS NOT NULL AND v2 IS NOT NULL THEN false ELSE ua END AS uncertain FROM avgs",
+    "SELECT s, CASE WHEN v1 IS NOT NULL AND v2 IS NOT NULL AND NOT coalesce(abs((v1 + v2) / 2 - va) <= 0.011, false) THEN " + S.rnd('(v1 + v2) / 2', 2) + " ELSE va END AS value, CASE WHEN v1 IS NOT NULL AND v2 IS NOT NULL THEN false ELSE ua END AS uncertain FROM avgs",
     avgs=_AVG,
 )
 def fix_annual_average(a):

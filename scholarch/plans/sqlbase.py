@@ -67,8 +67,8 @@ def finite(x: str) -> str:
 
 
 def rnd(x: str, n: int) -> str:
-    """Half-up on the decimal digits, independent of the binary form."""
-    return f"round(({x})::DECIMAL(18,8), {n})::DOUBLE"
+    """Half-up on the shortest decimal form of the double."""
+    return f"round((({x})::DOUBLE)::VARCHAR::DECIMAL(38,20), {n})::DOUBLE"
 
 
 def number_value(x: str) -> str:
@@ -179,7 +179,7 @@ CTES: dict[str, str] = {
     "groupe": "SELECT DISTINCT formation_id * 100 + ascii(groupe_code) AS id, groupe_code AS code, formation_id FROM enrolment",
     "inscription": """
   SELECT id, etudiant_id, formation_id, formation_id * 100 + ascii(groupe_code) AS groupe_id,
-         CASE WHEN id % 9 <> 0 THEN round(o_totalprice % 2100 / 100, 2) END AS moy, (id % 40 + 1)::INTEGER AS rang,
+         CASE WHEN id % 9 <> 0 THEN floor(o_totalprice % 2100) / 100 END AS moy, (id % 40 + 1)::INTEGER AS rang,
          CASE o_orderstatus WHEN 'O' THEN 'Admis' WHEN 'F' THEN 'Eliminé' ELSE 'Passage conditionnel' END AS decisionJury, date_inscription
   FROM enrolment""",
     "matiere": "SELECT p_partkey AS id, upper(substr(p_name, 1, 3)) || p_partkey::VARCHAR AS code, p_name AS title, p_size::DOUBLE AS coefficient FROM part",

@@ -174,7 +174,7 @@ class Archive:
             "etudiant_id",
             "formation_id",
             (F.col("formation_id") * 100 + F.ascii("groupe_code")).alias("groupe_id"),
-            F.when(F.col("id") % 9 != 0, F.round(F.col("o_totalprice") % 2100 / 100, 2)).alias("moy"),
+            F.when(F.col("id") % 9 != 0, F.floor(F.col("o_totalprice") % 2100) / 100).alias("moy"),
             (F.col("id") % 40 + 1).cast("int").alias("rang"),
             F.when(status == "O", "Admis").when(status == "F", "Eliminé").otherwise("Passage conditionnel").alias("decisionJury"),
             "date_inscription",
