@@ -291,7 +291,7 @@ def find_existing_matricule(a):
 
 GOOD = """
   SELECT s.*, nullif(trim(s.matricule), '') AS given, try_cast(s.date_naissance AS DATE) AS birth, lower(trim(s.nom)) AS nk, lower(trim(s.prenom)) AS pk
-  FROM save_row s WHERE trim(nom) <> '' AND trim(prenom) <> '' AND NOT (date_naissance <> '' AND try_cast(date_naissance AS DATE) IS NULL)"""
+  FROM save_row s WHERE trim(nom) <> '' AND trim(prenom) <> '' AND NOT coalesce(date_naissance <> '' AND try_cast(date_naissance AS DATE) IS NULL, false)"""
 RESOLVED = r"""
   SELECT g.index, g.nk, g.pk, trim(g.nom) AS nom, trim(g.prenom) AS prenom, g.sexe, g.lieu_naissance, g.birth, CASE WHEN given IS NOT NULL THEN 'provided' WHEN is_first_year THEN 'generated_first_year' WHEN found IS NOT NULL OR lead < index THEN 'history' ELSE 'generated_temporary' END AS source,
          given, found, lead, CASE WHEN is_first_year THEN 'ETU' ELSE 'TMP' END || '-' || right(regexp_extract(annee_univ, '[0-9]{4}'), 2) || '-' || rpad(substr(upper(regexp_replace(nom, '[^A-Za-z0-9]', '', 'g')), 1, 3), 3, 'X') || rpad(substr(upper(regexp_replace(prenom, '[^A-Za-z0-9]', '', 'g')), 1, 2), 2, 'X') AS stem

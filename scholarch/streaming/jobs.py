@@ -65,7 +65,8 @@ def search_analytics_stream(log: DataFrame, lateness: str = "1 day") -> DataFram
     """Daily search metrics per type; days close when the watermark passes (append)."""
     corrected = F.sum(F.when(F.col("correction_utilisateur") != 0, 1).otherwise(0))
     return (
-        log.withWatermark("date_recherche", lateness)
+        log.withColumn("date_recherche", F.col("date_recherche").cast("timestamp"))
+        .withWatermark("date_recherche", lateness)
         .groupBy(F.window("date_recherche", "1 day").alias("w"), "type_recherche")
         .agg(F.count("*").alias("total_searches"), F.avg("resultats_trouves").alias("avg_results"), corrected.alias("corrections"))
         .select("type_recherche", F.to_date("w.start").alias("search_date"), "total_searches", "avg_results", "corrections")
@@ -149,7 +150,8 @@ def operation_state_stream(events: DataFrame, stale_seconds: int = STALE_SECONDS
     A key sees its events in micro-batches; the processor keeps one row per key.
     """
     return (
-        events.withWatermark("updated_at", lateness)
+        events.withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+        .withWatermark("updated_at", lateness)
         .groupBy("operation_id")
         .transformWithStateInPandas(
             statefulProcessor=OperationState(stale_seconds), outputStructType=OPERATION, outputMode="Update", timeMode="EventTime"
