@@ -6,6 +6,7 @@ Callers score DISTINCT pairs only and join the scores back.
 from __future__ import annotations
 
 import difflib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,11 +36,16 @@ def code_similarity(left: Column, right: Column, ratio: Column | None = None) ->
     return F.when(empty, 0.0).otherwise(F.least(F.lit(1.0), ratio + first + near))
 
 
+@lru_cache(maxsize=1 << 16)
+def _ratio(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
 def _code_score(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     bonus = 0.05 * (a[0] == b[0]) + 0.03 * (abs(len(a) - len(b)) <= 1)
-    return min(1.0, difflib.SequenceMatcher(None, a, b).ratio() + bonus)
+    return min(1.0, _ratio(a, b) + bonus)
 
 
 # fixed values: least scores for a code and for a name to count as the same
@@ -80,7 +86,7 @@ def repaired_names(names: pd.Series, reference: pd.Series) -> pd.DataFrame:
         ref, out, fixed = list(ref), list(mine), 0
         for at, name in enumerate(out):
             if len(out) == len(ref):
-                near = name.upper() != ref[at] and difflib.SequenceMatcher(None, name.upper(), ref[at]).ratio() >= MIN_NAME_RATIO
+                near = name.upper() != ref[at] and _ratio(name.upper(), ref[at]) >= MIN_NAME_RATIO
                 hit = ref[at] if near else None
             else:
                 hit = next(iter(difflib.get_close_matches(name.upper(), ref, n=1, cutoff=MIN_NAME_RATIO)), None) if name else None

@@ -27,7 +27,7 @@ from scholarch.functions.text import (
     trigram_serialize,
     trigrams_of_normalized,
 )
-from scholarch.session import materialize
+from scholarch.session import materialize, spread
 
 MAX_LIMIT = 20
 FALLBACK_POOL = 2000
@@ -270,8 +270,8 @@ def name_pairs(q: DataFrame, s: DataFrame) -> DataFrame:
     """
     by_nom = value_candidates(_values(q, "qn", "q"), _values(s, "sn", "s"))
     by_prenom = value_candidates(_values(q, "qp", "q"), _values(s, "sp", "s"))
-    nom = q.join(by_nom.toDF("qn", "sn"), "qn").join(s, "sn")
-    prenom = q.join(by_prenom.toDF("qp", "sp"), "qp").join(s, "sp").filter(~_matches("qn", "sn"))
+    nom = spread(q.join(by_nom.toDF("qn", "sn"), "qn"), "qp_id", "sn").join(s, "sn")
+    prenom = spread(q.join(by_prenom.toDF("qp", "sp"), "qp"), "qp_id", "sp").join(s, "sp").filter(~_matches("qn", "sn"))
     cols = nom.columns
     parts = nom.select(cols).union(prenom.select(cols))
 
@@ -439,9 +439,12 @@ def suggest(
     prepared = prepare_students(students, variations)
     asked, searches = prepare_searches(queries)
 
-    pairs = name_pairs(searches, profiles(prepared, k))
-    top = _best(score_pairs(pairs), "qp_id", "prof_id", k).select("qp_id", F.explode("ids").alias("student_id"), *_PARTS)
-    by_name = materialize(top, "by-name")
+    profs = materialize(profiles(prepared, k), "profiles")
+    scored = score_pairs(name_pairs(searches, profs)).select("qp_id", "prof_id", "score")
+    # only ids and the score are sorted; the parts behind the reasons are worked out for the winners
+    winners = materialize(_best(scored, "qp_id", "prof_id", k).select("qp_id", "prof_id"), "winners")
+    top = score_pairs(winners.join(searches, "qp_id").join(profs, "prof_id"))
+    by_name = materialize(top.select("qp_id", F.explode("ids").alias("student_id"), *_PARTS), "by-name")
     rows = by_name
     if fallback:
         lonely = searches.join(by_name.select("qp_id").distinct(), "qp_id", "left_anti")

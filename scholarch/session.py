@@ -65,3 +65,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_location(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partition by the keys into a fixed number of tasks before work that multiplies rows.
+
+    AQE sizes partitions by bytes and would run a small but explosive input in one task; a
+    fixed number is left alone by it.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)

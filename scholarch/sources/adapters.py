@@ -26,7 +26,7 @@ class Archive:
 
     # --- people ------------------------------------------------------------------
     def etudiant(self) -> DataFrame:
-        words = F.split(F.regexp_replace("text", "^\\s+", ""), "\\s+", 3)
+        words = F.split(F.ltrim("text", F.lit(" \t\n\f\r")), "\\s+", 3)
         number = F.col("doc_id").cast("string")
         return (
             self.table("documents")
