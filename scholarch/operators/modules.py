@@ -34,12 +34,15 @@ def _trusted_tables(pages: DataFrame, stop: int) -> DataFrame:
         F.when(reached, F.lit(0)).otherwise(-F.col("n_modules")).alias("fewer"),
         visit.alias("visit"),
     )
+    # pages without modules drop out through a null order; a filter on the computed count
+    # would be pushed down with a second copy of the whole typing expression
+    usable = F.when(F.col("n_modules") > 0, order)
     return (
         normalize_module_table(pages)
-        .filter("n_modules > 0")
         .join(second, doc, "left")
         .groupBy(*doc)
-        .agg(F.min_by(F.struct("page_number", "n_modules", "matieres"), order).alias("best"))
+        .agg(F.min_by(F.struct("page_number", "n_modules", "matieres"), usable).alias("best"))
+        .filter("best is not null")
         .select(*doc, "best.*")
     )
 

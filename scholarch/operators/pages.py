@@ -44,7 +44,10 @@ def read_page_results(df: DataFrame, text: str, output: str = "result") -> DataF
         ('"single student"', '"single_student"'),
     ):
         json = F.regexp_replace(json, pattern, name)
-    return df.withColumn(output, F.from_json(json, PAGE_RESULT, {"mode": "PERMISSIVE"}))
+    parsed = F.from_json(json, PAGE_RESULT, {"mode": "PERMISSIVE"})
+    # a generator is a barrier for filters: without it every later filter on the result would
+    # be pushed below this projection together with a second parse of the text
+    return df.select("*", F.explode_outer(F.array(parsed)).alias(output))
 
 
 def conform_results(pages: DataFrame, column: str = "result") -> DataFrame:
