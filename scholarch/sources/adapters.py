@@ -28,9 +28,11 @@ class Archive:
     def etudiant(self) -> DataFrame:
         words = F.split(F.ltrim("text", F.lit(" \t\n\f\r")), "\\s+", 3)
         number = F.col("doc_id").cast("string")
+        # the generator keeps the split of the whole text from being repeated in the pushed filter
         return (
             self.table("documents")
-            .select("doc_id", "source", F.get(words, F.lit(0)).alias("nom"), F.get(words, F.lit(1)).alias("prenom"))
+            .select("doc_id", "source", F.explode_outer(F.array(words)).alias("w"))
+            .select("doc_id", "source", F.get("w", F.lit(0)).alias("nom"), F.get("w", F.lit(1)).alias("prenom"))
             .filter(F.col("prenom") != "")
             .select(
                 F.col("doc_id").alias("id"),
