@@ -194,7 +194,7 @@ CTES: dict[str, str] = {
   FROM lineitem""",
     "pending_case": """
   SELECT id AS case_id, CASE WHEN id % 10 <> 9 THEN 'pending' ELSE 'resolved' END AS status,
-         CASE WHEN id % 3 = 2 THEN nom || 'zzq' ELSE upper(nom) END AS nom, prenom,
+         CASE WHEN id % 3 = 2 THEN nom || 'zzq' ELSE translate(nom, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END AS nom, prenom,
          CASE WHEN id % 3 = 1 THEN 'TMP-' || id::VARCHAR ELSE matricule END AS generated_matricule
   FROM etudiant""",
     "save_row": f"""

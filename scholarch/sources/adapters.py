@@ -254,7 +254,7 @@ class Archive:
         return e.select(
             F.col("id").alias("case_id"),
             F.when(F.col("id") % 10 != 9, "pending").otherwise("resolved").alias("status"),
-            F.when(kind == 2, F.concat(F.col("nom"), F.lit("zzq"))).otherwise(F.upper("nom")).alias("nom"),
+            F.when(kind == 2, F.concat(F.col("nom"), F.lit("zzq"))).otherwise(F.translate("nom", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("nom"),
             "prenom",
             F.when(kind == 1, F.concat(F.lit("TMP-"), F.col("id").cast("string"))).otherwise(F.col("matricule")).alias("generated_matricule"),
         )
