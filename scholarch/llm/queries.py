@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarch.llm import bpe_codec, simhash, token_counts
+from scholarch.llm import bpe_codec, decontaminate, quality, simhash, token_counts, toxicity, url_rules
 from scholarch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,88 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+CONTAMINATION_SQL = r"""
+WITH folded AS (
+    SELECT item_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, 'item' AS side FROM benchmark
+    UNION ALL
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'doc' FROM documents
+),
+worded AS (SELECT side, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM folded),
+sized AS (SELECT *, len(words) AS n FROM worded),
+grams AS (
+    SELECT DISTINCT id AS item_id, least(n, 10) AS size, array_to_string(words[i:i + least(n, 10) - 1], ' ') AS gram
+    FROM (SELECT id, words, n, unnest(range(1, n - least(n, 10) + 2)) AS i FROM sized WHERE side = 'item' AND n > 0)
+),
+spots AS (
+    SELECT id, i, size, array_to_string(words[i:i + size - 1], ' ') AS gram
+    FROM (
+        SELECT id, words, size, unnest(range(1, n - size + 2)) AS i
+        FROM sized, (SELECT DISTINCT size FROM grams) WHERE side = 'doc' AND n >= size
+    )
+),
+found AS (SELECT s.id, s.i, s.size, g.item_id FROM spots s JOIN grams g USING (size, gram)),
+hits AS (SELECT id, count(DISTINCT k) AS n_hit FROM (SELECT id, unnest(range(i, i + size)) AS k FROM found) GROUP BY id),
+items AS (
+    SELECT id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+    FROM (SELECT DISTINCT id, item_id::VARCHAR AS name FROM found) GROUP BY id
+)
+SELECT d.id AS doc_id, d.n::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(i.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(i.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM sized d LEFT JOIN hits h ON h.id = d.id LEFT JOIN items i ON i.id = d.id
+WHERE d.side = 'doc'
+"""
+
+URL_RULES = (
+    url_rules.parse_rule("org/", "allow"),
+    url_rules.parse_rule("example.org/es/", "block"),
+    url_rules.parse_rule("example.org/en/1", "block"),
+    url_rules.parse_rule("com/fr/", "allow"),
+    url_rules.parse_rule("com/de/", "block"),
+)
+
+URL_RULES_SQL = r"""
+WITH rules (rhost, rpath, rverdict) AS (
+    VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+),
+parsed AS (
+    SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages
+),
+split AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM parsed
+),
+judged AS (
+    SELECT page_id, host, path,
+           (SELECT max_by({'rule': rhost || rpath, 'verdict': rverdict}, length(rhost || rpath))
+            FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS best
+    FROM split
+)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM judged
+"""
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_decontamination", CONTAMINATION_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_url_rules", URL_RULES_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return url_rules.judge(table(spark, folder, "pages"), rules)
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op10_bpe_codec")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_codec.encode(table(spark, folder, "documents"), vocabulary_path(), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
