@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarch.llm import bpe_codec, decontaminate, quality, simhash, token_counts, toxicity, url_rules
+from scholarch.llm import bpe_codec, decontaminate, quality, secrets, simhash, token_counts, toxicity, url_rules
 from scholarch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,11 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 """
 
 
+@query("op1_secrets")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
 @query("op2_quality")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
