@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarch.llm import bpe_codec, decontaminate, quality, secrets, simhash, token_counts, toxicity, url_rules
+from scholarch.llm import bpe_codec, decontaminate, neighbours, preferences, quality, secrets, simhash, token_counts, toxicity, url_rules
 from scholarch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +112,54 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+PREFERENCES_SQL = r"""
+WITH turns AS (
+    SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+rendered AS (
+    SELECT *, '<|' || role || '|>' || chr(10) AS head, replace(text, '<|', '< |') || chr(10) || '<|end|>' || chr(10) AS body FROM turns
+),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS i FROM rendered
+),
+sizes AS (
+    SELECT pair_id, count(*) FILTER (side = 0) AS nc, count(*) FILTER (side = 1) AS nr FROM numbered GROUP BY pair_id
+),
+apart AS (
+    SELECT c.pair_id, min(c.i) AS at FROM numbered c JOIN numbered r ON r.pair_id = c.pair_id AND r.i = c.i AND c.side = 0 AND r.side = 1
+    WHERE c.role <> r.role OR c.text <> r.text GROUP BY c.pair_id
+),
+prefixes AS (SELECT s.*, coalesce(a.at - 1, least(nc, nr)) AS n FROM sizes s LEFT JOIN apart a USING (pair_id)),
+parts AS (
+    SELECT pair_id,
+           string_agg(head || body, '' ORDER BY i) FILTER (side = 0 AND i <= n) AS prompt,
+           string_agg(head || body, '' ORDER BY i) FILTER (side = 0 AND i > n) AS chosen,
+           string_agg(head || body, '' ORDER BY i) FILTER (side = 1 AND i > n) AS rejected,
+           string_agg('0:' || length(head) || ',' || (role = 'assistant')::INT || ':' || length(body), ',' ORDER BY i) FILTER (side = 0 AND i > n) AS chosen_mask,
+           string_agg('0:' || length(head) || ',' || (role = 'assistant')::INT || ':' || length(body), ',' ORDER BY i) FILTER (side = 1 AND i > n) AS rejected_mask
+    FROM numbered JOIN prefixes USING (pair_id) GROUP BY pair_id
+)
+SELECT pair_id, n::INT AS n_prefix, coalesce(prompt, '') AS prompt,
+       CASE WHEN nc > 0 THEN coalesce(chosen, '') END AS chosen, CASE WHEN nr > 0 THEN coalesce(rejected, '') END AS rejected,
+       CASE WHEN nc > 0 THEN coalesce(chosen_mask, '') END AS chosen_mask, CASE WHEN nr > 0 THEN coalesce(rejected_mask, '') END AS rejected_mask,
+       CASE WHEN nc = 0 OR nr = 0 THEN 'single' WHEN nc = n AND nr = n THEN 'identical' WHEN nc = n OR nr = n THEN 'continued' ELSE 'pair' END AS status
+FROM prefixes JOIN parts USING (pair_id)
+"""
+
+
+@query("op3_preferences", PREFERENCES_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = preferences.format_preferences(preferences.neighbouring_pairs(table(spark, folder, "conversations")))
+    masks = {c: preferences.mask_text(pairs[c]) for c in ("chosen_mask", "rejected_mask")}
+    return pairs.withColumns(masks)
+
+
+@query("op8_neighbours")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"))
+
+
 @query("op6_decontamination", CONTAMINATION_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
