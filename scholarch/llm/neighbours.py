@@ -30,7 +30,10 @@ from scholarch.session import materialize
 EPSILON = 2.1  # confidence of the test
 BLOCK = 16  # dimensions added at a time
 ROWS = 4096  # vectors of a list block, at most about
-QUERIES = 1024  # queries of a block, at most about
+QUERIES = 4096  # queries of a block, at most about
+CHUNK = 512  # rows that thresholds are renewed after
+DENSE = 0.25  # pairs are scanned as a whole block until fewer than this share survive
+PROBED = 0.8  # share of the lists that a query probes, unless a number is given
 SAMPLE = 20_000  # vectors that centres are fitted on
 MOST_LISTS = 1024
 
@@ -91,32 +94,45 @@ def scan_block(q: np.ndarray, x: np.ndarray, turned: np.ndarray, largest: float,
     base = (q.astype(np.float64) ** 2).sum(1) + largest**2  # squared distance = base - 2 * product
     tau = tau.copy()
     found_q, found_x, found_s = [], [], []
-    held = [np.zeros(0) for _ in range(len(q))]
+    held = np.full((len(q), k), -np.inf)
     q64, x64 = q.astype(np.float64), x.astype(np.float64)
-    for start in range(0, len(x), 512):
-        part = slice(start, min(start + 512, len(x)))
-        limit = np.where(np.isneginf(tau), np.inf, np.maximum(base - 2 * tau, 0))
-        b = min(BLOCK, dim)
-        # the first block of columns for all pairs at once, later ones for the survivors
-        partial = (fq[:, :b] ** 2).sum(1)[:, None] + (fx[part, :b] ** 2).sum(1)[None, :] - 2 * fq[:, :b] @ fx[part, :b].T
-        qi, xi = np.nonzero(partial * (dim / b) <= limit[:, None] * (1 + EPSILON / np.sqrt(b)) ** 2 + 1e-5)
-        dist = partial[qi, xi]
-        while b < dim and len(qi):
-            e = min(b + BLOCK, dim)
-            dist = dist + ((fq[qi, b:e] - fx[xi + start, b:e]) ** 2).sum(1)
-            b = e
-            stay = dist * (dim / b) <= limit[qi] * (1 + (EPSILON / np.sqrt(b) if b < dim else 0)) ** 2 + 1e-4
-            qi, xi, dist = qi[stay], xi[stay], dist[stay]
+    for start in range(0, len(x), CHUNK):
+        part = slice(start, min(start + CHUNK, len(x)))
+        limit = np.where(np.isneginf(tau), np.inf, np.maximum(base - 2 * tau, 0)).astype(np.float32)
+
+        def distance(a: int, b: int, part=part) -> np.ndarray:
+            """Squared differences of all pairs over the columns from a to b."""
+            return (fq[:, a:b] ** 2).sum(1)[:, None] + (fx[part, a:b] ** 2).sum(1)[None, :] - 2 * (fq[:, a:b] @ fx[part, a:b].T)
+
+        d = min(BLOCK, dim)
+        total = distance(0, d)
+        pairs = None  # numbers of the surviving pairs, once they are few
+        while True:
+            factor = (d / dim) * (1 + (EPSILON / np.sqrt(d) if d < dim else 0)) ** 2
+            if pairs is None:
+                stay = total <= (limit * factor + 1e-4)[:, None]
+                if d == dim or np.count_nonzero(stay) < DENSE * stay.size:
+                    pairs = np.nonzero(stay)
+                    total = total[pairs]
+            else:
+                stay = total <= limit[pairs[0]] * factor + 1e-4
+                pairs, total = (pairs[0][stay], pairs[1][stay]), total[stay]
+            if d == dim or (pairs is not None and not len(pairs[0])):
+                break
+            e = min(d + BLOCK, dim)
+            if pairs is None:
+                total += distance(d, e)
+            else:
+                total = total + ((fq[pairs[0], d:e] - fx[pairs[1] + start, d:e]) ** 2).sum(1)
+            d = e
+        qi, xi = pairs
         if not len(qi):
             continue
-        score = (q64[qi] * x64[xi + start]).sum(axis=1)
-        for i in np.unique(qi):
-            mine = qi == i
-            best = np.concatenate((held[i], score[mine]))
-            if len(best) >= k:
-                best = np.partition(best, len(best) - k)[len(best) - k :]
-                tau[i] = max(tau[i], best.min())
-            held[i] = best
+        score = np.concatenate([(q64[qi[i : i + 65536]] * x64[xi[i : i + 65536] + start]).sum(axis=1) for i in range(0, len(qi), 65536)])
+        dense = np.full((len(q), part.stop - start), -np.inf)
+        dense[qi, xi] = score
+        held = np.partition(np.concatenate((held, dense), axis=1), dense.shape[1], axis=1)[:, dense.shape[1] :]
+        tau = np.maximum(tau, held[:, 0])
         found_q.append(qi)
         found_x.append(xi + start)
         found_s.append(score)
@@ -150,7 +166,7 @@ def search(
     entries = materialize(firsts.join(ids, "vec").select("rep", "vec", "ids", "asks"), "entries")
 
     n_lists = lists or int(min(MOST_LISTS, max(1, round(float(np.sqrt(facts.n))))))
-    n_probes = min(n_lists, probes or max(8, n_lists // 6))
+    n_probes = min(n_lists, probes or max(8, int(np.ceil(PROBED * n_lists))))
     sample = entries.select("vec").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
     around = centres(np.array([r.vec for r in sample], np.float32), n_lists)
     n_probes = min(n_probes, len(around))
@@ -180,9 +196,9 @@ def search(
         """Queries (left) against one block of a list (right)."""
         out = {"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
         if left.num_rows and right.num_rows:
-            reps = left["rep"].to_numpy()
+            reps = left["qrep"].to_numpy()
             qi, xi, score = scan_block(
-                _matrix(left["vec"].combine_chunks(), dim), _matrix(right["vec"].combine_chunks(), dim), turned, largest, k + 1, left["tau"].to_numpy(zero_copy_only=False)
+                _matrix(left["qvec"].combine_chunks(), dim), _matrix(right["vec"].combine_chunks(), dim), turned, largest, k + 1, left["tau"].to_numpy(zero_copy_only=False)
             )
             ids = right["ids"].to_pylist()
             rows = [(q, i, s) for q, x, s in zip(reps[qi].tolist(), xi.tolist(), score.tolist(), strict=True) for i in ids[x]]
@@ -191,7 +207,7 @@ def search(
         return pa.table(out)
 
     def scanned(asked: DataFrame) -> DataFrame:
-        """`asked` (rep, vec, tau, list) against the lists, in blocks of both sides."""
+        """`asked` (qrep, qvec, tau, list) against the lists, in blocks of both sides."""
         sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("xs"))
         loads = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qs"))
         grid = F.broadcast(sizes.join(F.broadcast(loads), "list"))  # one row per list, MOST_LISTS at most
@@ -203,20 +219,20 @@ def search(
         )
         queries = (
             asked.join(grid, "list")
-            .withColumn("qb", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("qs")).cast("int"))
+            .withColumn("qb", F.pmod(F.xxhash64("qrep", F.lit(1)), F.col("qs")).cast("int"))
             .withColumn("xb", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
-            .select("list", "xb", "qb", "rep", "vec", "tau")
+            .select("list", "xb", "qb", "qrep", "qvec", "tau")
         )
         keys = ["list", "xb", "qb"]
         found = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(scan, "query long, id long, score double")
         best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
         return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
 
-    asking = placed.where("probed is not null")
-    first = materialize(scanned(asking.select("rep", "vec", F.lit(float("-inf")).alias("tau"), F.col("probed")[0].alias("list"))), "own-lists")
+    asking = placed.where("probed is not null").select(F.col("rep").alias("qrep"), F.col("vec").alias("qvec"), F.col("probed").alias("probed"))
+    first = materialize(scanned(asking.select("qrep", "qvec", F.lit(float("-inf")).alias("tau"), F.col("probed")[0].alias("list"))), "own-lists")
     # the (k + 1)-th best so far bounds what the other lists can add
-    bound = first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("low")).select(F.col("query").alias("rep"), F.when(F.col("n") > k, F.col("low")).otherwise(float("-inf")).alias("tau"))
-    rest = asking.where(F.size("probed") > 1).join(bound, "rep", "left").select("rep", "vec", F.coalesce("tau", F.lit(float("-inf"))).alias("tau"), F.explode(F.slice("probed", 2, n_probes)).alias("list"))
+    bound = first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("low")).select(F.col("query").alias("qrep"), F.when(F.col("n") > k, F.col("low")).otherwise(float("-inf")).alias("tau"))
+    rest = asking.where(F.size("probed") > 1).join(bound, "qrep", "left").select("qrep", "qvec", F.coalesce("tau", F.lit(float("-inf"))).alias("tau"), F.explode(F.slice("probed", 2, n_probes)).alias("list"))
     all_found = first.union(scanned(rest)) if n_probes > 1 else first
     merged = all_found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1)
     tops = merged.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "id", "score"))).alias("top"))
