@@ -115,7 +115,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
 
     dealt = probes.union(opened).mapInArrow(deal, _FIELDS).repartition(parts, "part").sortWithinPartitions("part", "key", "kind")
     found = dealt.mapInArrow(sweep, "host string, path string, rule string, verdict string")
-    rank = F.struct(F.length("rule").alias("length"), F.instr("rule", "/").alias("host_length"))
+    rank = F.struct(F.length("rule").alias("length"), F.length(F.regexp_extract("rule", "^[^/]*", 0)).alias("host_length"))
     best = found.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("best"))
     return urls.join(best, ["host", "path"], "left").select(
         id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
