@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,39 +23,44 @@ def json_greedy(text: Column) -> Column:
     return F.when((found != "") & whole.isNotNull() & alone, found)
 
 
+_TOKEN = re.compile(r'[{}]|"(?:[^"\\]|\\.)*"?', re.S)
+
+
 def _last_object(text: str | None) -> str | None:
     """Source text of the last top-level {...} that parses; quotes and escapes respected."""
     if not text:
         return None
-    best, depth, start, quoted, skip = None, 0, -1, False, False
-    for at, ch in enumerate(text):
-        if depth == 0:
-            if ch == "{":
-                start, depth, quoted, skip = at, 1, False, False
-            continue
-        if skip:
-            skip = False
-        elif quoted:
-            if ch == "\\":
-                skip = True
-            elif ch == '"':
-                quoted = False
-        elif ch == '"':
-            quoted = True
-        elif ch == "{":
-            depth += 1
-        elif ch == "}":
-            depth -= 1
-            if depth == 0:
-                piece = text[start : at + 1]
-                try:
-                    json.loads(piece)
-                except ValueError:
-                    continue
-                best = piece
+    best, start = None, text.find("{")
+    while start >= 0:
+        depth = 0
+        end = -1
+        # braces outside strings; a string is one token, also one that never closes
+        for token in _TOKEN.finditer(text, start):
+            if token[0] == "{":
+                depth += 1
+            elif token[0] == "}":
+                depth -= 1
+                if depth == 0:
+                    end = token.end()
+                    break
+        if end < 0:
+            return best
+        try:
+            json.loads(text[start:end])
+            best = text[start:end]
+        except ValueError:
+            pass
+        start = text.find("{", end)
     return best
 
 
 @F.pandas_udf(StringType())
-def json_last_balanced(texts: pd.Series) -> pd.Series:
+def _last_objects(texts: pd.Series) -> pd.Series:
     return texts.map(_last_object)
+
+
+def json_last_balanced(text: Column | str) -> Column:
+    """The last object of a text; one without both braces never reaches Python."""
+    column = F.col(text) if isinstance(text, str) else text
+    piece = F.regexp_extract(column, "(?s)\\{.*\\}", 0)
+    return _last_objects(F.nullif(piece, F.lit("")))

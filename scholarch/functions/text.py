@@ -16,28 +16,45 @@ WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 @lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """(from, to, ligatures), derived from the Unicode decomposition rule.
-
-    `from`/`to` feed `translate`: characters whose NFKD form is one ASCII letter or digit
-    after removing combining marks; the combining marks themselves come last and have no
-    counterpart, so translate deletes them.  Latin ligatures expand to several letters.
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """(from, to, longer), derived from the Unicode decomposition rule over all planes.
+
+    A character's folded form is its NFKD form without combining marks, in lower case, with
+    anything but a-z and 0-9 as a blank.  `from`/`to` feed `translate`: the characters with a
+    folded form of one letter or digit; last come the marks, which have no counterpart, so
+    translate deletes them.  `longer` holds the forms of several characters.  Characters in
+    neither fold to a blank.
     """
-    single, marks, ligatures = {}, [], []
-    for cp in range(0x80, 0x10000):
+    single, marks, longer = {}, [], {}
+    for cp in range(0x80, 0x110000):
         if 0xD800 <= cp < 0xE000:
             continue
         ch = chr(cp)
-        if unicodedata.combining(ch):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+        if not plain:
             marks.append(ch)
             continue
-        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if len(base) == 1 and base.isascii() and base.isalnum():
-            single[ch] = base
-        elif 0xFB00 <= cp <= 0xFB06 or 0x0132 <= cp <= 0x0149 or 0x01C4 <= cp <= 0x01CC or 0xBC <= cp <= 0xBE:
-            if len(base) > 1:
-                ligatures.append((ch, base))
-    return "".join(single) + "".join(marks), "".join(single.values()), tuple(ligatures)
+        if not any(c.isascii() and c.isalnum() for c in plain):
+            continue
+        folded = "".join(c if c.isascii() and c.isalnum() else " " for c in plain.lower())
+        if len(folded) == 1:
+            single[ch] = folded
+        else:
+            longer[ch] = folded
+    return "".join(single) + "".join(marks), "".join(single.values()), longer
+
+
+@lru_cache(maxsize=1)
+def _longer_class() -> str:
+    """The characters with longer forms as a character class of code point ranges."""
+    points = sorted(map(ord, _fold_tables()[2]))
+    ranges: list[list[int]] = []
+    for p in points:
+        if ranges and p == ranges[-1][1] + 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
 @lru_cache(maxsize=1)
@@ -58,16 +75,21 @@ def _mark_tables() -> tuple[str, str]:
 
 
 def fold_ascii(col: Column) -> Column:
-    source, target, ligatures = _fold_tables()
-    out = col
-    for ch, base in ligatures:
-        out = F.replace(out, F.lit(ch), F.lit(base))
-    return F.translate(out, source, target)
+    """Letters and digits in their plain lower-case form; whatever has none stays as it is.
+
+    Most texts are ASCII, or have no character with a longer form, and take the cheaper ways.
+    """
+    source, target, longer = _fold_tables()
+    # two literals that the optimizer folds into one map
+    forms = F.map_from_arrays(F.split(F.lit("\t".join(longer)), "\t"), F.split(F.lit("\t".join(longer.values())), "\t"))
+    spelled = F.array_join(F.transform(F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.element_at(forms, c), c)), "")
+    whole = F.when(col.rlike(_longer_class()), spelled).otherwise(col)
+    return F.lower(F.when(col.rlike("[^\\x00-\\x7F]"), F.translate(whole, source, target)).otherwise(col))
 
 
 def normalize_text(col: Column) -> Column:
     """Accents folded, lower case, everything but a-z and 0-9 one blank, trimmed; null gives ''."""
-    folded = F.lower(fold_ascii(F.coalesce(col, F.lit(""))))
+    folded = fold_ascii(F.coalesce(col, F.lit("")))
     return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
 
 

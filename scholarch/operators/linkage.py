@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarch.functions.phonetic import with_metaphone
 from scholarch.functions.text import (
     full_search_term,
     normalize_text,
@@ -29,8 +28,6 @@ from scholarch.functions.text import (
 )
 from scholarch.session import materialize, spread
 
-MAX_LIMIT = 20
-FALLBACK_POOL = 2000
 MIN_TRIGRAM_REASON = 0.45
 
 
@@ -38,10 +35,10 @@ MIN_TRIGRAM_REASON = 0.45
 
 
 def build_search_keys(students: DataFrame) -> DataFrame:
-    """Add the six stored key columns of nom and prenom, native expressions in one pass."""
+    """Add the four stored key columns of nom and prenom, native expressions in one pass."""
     nom, prenom = normalize_text(F.col("nom")), normalize_text(F.col("prenom"))
     keyed = students.withColumns({"_n": nom, "_p": prenom})
-    keyed = keyed.withColumns(
+    return keyed.withColumns(
         {
             "nom_soundex": soundex_of_normalized(F.col("_n")),
             "prenom_soundex": soundex_of_normalized(F.col("_p")),
@@ -49,12 +46,11 @@ def build_search_keys(students: DataFrame) -> DataFrame:
             "prenom_trigram": trigram_serialize(trigrams_of_normalized(F.col("_p"))),
         }
     ).drop("_n", "_p")
-    return with_metaphone(with_metaphone(keyed, "nom", "nom_metaphone"), "prenom", "prenom_metaphone")
 
 
 def rebuild_search_keys(students: DataFrame) -> DataFrame:
     """Recompute the keys of the whole table in one parallel pass (no id-ordered batches)."""
-    stored = ["nom_soundex", "prenom_soundex", "nom_metaphone", "prenom_metaphone", "nom_trigram", "prenom_trigram"]
+    stored = ["nom_soundex", "prenom_soundex", "nom_trigram", "prenom_trigram"]
     return build_search_keys(students.drop(*stored))
 
 
@@ -83,7 +79,6 @@ def _with_keys(df: DataFrame, prefix: str) -> DataFrame:
     for f in ("n", "p"):
         name = f"{prefix}{f}"
         out = out.withColumn(f"{name}_sx", soundex_of_normalized(F.col(name))).withColumn(f"{name}_g", _gram_codes(F.col(name)))
-        out = with_metaphone(out, name, f"{name}_mp")
     return out
 
 
@@ -121,11 +116,9 @@ def phonetic_pairs(searched: DataFrame, stored: DataFrame) -> DataFrame:
     """(q, s) for normalised values with an equal non-empty phonetic key (distinct values)."""
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        base = with_metaphone(df.withColumn("sx", soundex_of_normalized(F.col(name))), name, "mp")
-        keys = F.array(F.concat(F.lit("s:"), "sx"), F.concat(F.lit("m:"), "mp"))
-        return base.select(name, F.explode(F.filter(keys, lambda k: F.length(k) > 2)).alias("key"))
+        return df.select(name, soundex_of_normalized(F.col(name)).alias("key")).filter("key <> ''")
 
-    return keyed(searched, "q").join(keyed(stored, "s"), "key").select("q", "s").distinct()
+    return keyed(searched, "q").join(keyed(stored, "s"), "key").select("q", "s")
 
 
 def value_candidates(searched: DataFrame, stored: DataFrame) -> DataFrame:
@@ -212,7 +205,7 @@ def prepare_students(students: DataFrame, variations: DataFrame | None) -> DataF
 
 
 _PROFILE = ["sn", "sp", "vars"]
-_KEYED = ["sn_sx", "sn_g", "sn_mp", "sp_sx", "sp_g", "sp_mp"]
+_KEYED = ["sn_sx", "sn_g", "sp_sx", "sp_g"]
 
 
 def profiles(prepared: DataFrame, k: int) -> DataFrame:
@@ -251,7 +244,6 @@ def prepare_searches(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _matches(q: str, s: str) -> Column:
     """Pair predicate of one name field: equal phonetic key or containment."""
     sound = (F.col(f"{q}_sx") != "") & (F.col(f"{q}_sx") == F.col(f"{s}_sx"))
-    sound = sound | ((F.col(f"{q}_mp") != "") & (F.col(f"{q}_mp") == F.col(f"{s}_mp")))
     return sound | ((F.col(q) != "") & F.contains(s, q))
 
 
@@ -334,8 +326,6 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
             "exact_p": exact_p,
             "sx_n": same("qn_sx", "sn_sx", 8.0),
             "sx_p": same("qp_sx", "sp_sx", 8.0),
-            "mp_n": same("qn_mp", "sn_mp", 10.0),
-            "mp_p": same("qp_mp", "sp_mp", 10.0),
             "dice_n": _dice(c("qn_g"), c("sn_g")),
             "dice_p": _dice(c("qp_g"), c("sp_g")),
             "learned": variation_bonus(),
@@ -347,12 +337,12 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
             "hist": F.least(F.coalesce("n_history", F.lit(0)) * 3.0, F.lit(9.0)) if "n_history" in pairs.columns else F.lit(0.0),
         }
     )
-    parts = ["names", "mat", "sx_n", "sx_p", "mp_n", "mp_p"]
+    parts = ["names", "mat", "sx_n", "sx_p"]
     total = sum((c(p) for p in parts[1:]), c(parts[0])) + c("dice_n") * 12.0 + c("dice_p") * 12.0 + c("learned.score") + c("hist")
     return out.withColumn("score", F.round(total, 2))
 
 
-_PARTS = ["score", "exact_n", "exact_p", "mat", "sx_n", "sx_p", "mp_n", "mp_p", "dice_n", "dice_p", "learned", "hist"]
+_PARTS = ["score", "exact_n", "exact_p", "mat", "sx_n", "sx_p", "dice_n", "dice_p", "learned", "hist"]
 
 
 def reasons() -> Column:
@@ -368,8 +358,6 @@ def reasons() -> Column:
         F.when(c("mat") == 22.0, "exact matricule").when(c("mat") == 10.0, "partial matricule"),
         F.when(c("sx_n") > 0, "nom soundex"),
         F.when(c("sx_p") > 0, "prenom soundex"),
-        F.when(c("mp_n") > 0, "nom metaphone"),
-        F.when(c("mp_p") > 0, "prenom metaphone"),
         gram("dice_n", "nom"),
         gram("dice_p", "prenom"),
         c("learned.reason"),
@@ -400,13 +388,24 @@ def _merge_best(rows: DataFrame, by: str, k: int) -> DataFrame:
     return _best(top, by, "student_id", k)
 
 
-def _fallback(lonely: DataFrame, prepared: DataFrame, k: int) -> DataFrame:
-    """Scored rows of the searches without any candidate: against the 2000 highest ids.
+def _pool(prepared: DataFrame, size: int | None) -> DataFrame:
+    """Students that a search without any candidate is compared with: all, or the `size` highest ids."""
+    return prepared if size is None else prepared.orderBy(F.desc("id")).limit(size)
+
+
+def _limit(limit: int) -> int:
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+    return limit
+
+
+def _fallback(lonely: DataFrame, prepared: DataFrame, k: int, pool_size: int | None) -> DataFrame:
+    """Scored rows of the searches without any candidate.
 
     Only trigrams can score here, so sharing a gram is the join key; the k lowest ids of the
-    pool (at most 20 rows, whatever the data) complete the list with what is left.
+    pool (k rows, whatever the data) complete the list with what is left.
     """
-    pool = prepared.orderBy(F.desc("id")).limit(FALLBACK_POOL)
+    pool = _pool(prepared, pool_size)
 
     def grams(df: DataFrame, key: str, nom: str, prenom: str) -> DataFrame:
         tagged = F.concat(F.transform(nom, lambda g: g), F.transform(prenom, lambda g: -g))
@@ -433,9 +432,14 @@ def suggest(
     log: DataFrame | None = None,
     limit: int = 5,
     fallback: bool = True,
+    pool_size: int | None = None,
 ) -> DataFrame:
-    """The `limit` (1-20) best students per query: score descending, student id ascending."""
-    k = max(1, min(limit, MAX_LIMIT))
+    """The `limit` best students per query: score descending, student id ascending.
+
+    A search without any candidate is compared with all students, or with those of the
+    `pool_size` highest ids if that is given.
+    """
+    k = _limit(limit)
     prepared = prepare_students(students, variations)
     asked, searches = prepare_searches(queries)
 
@@ -449,7 +453,7 @@ def suggest(
     if fallback:
         lonely = searches.join(by_name.select("qp_id").distinct(), "qp_id", "left_anti")
         if not lonely.isEmpty():
-            rows = rows.union(_fallback(lonely, prepared, k).select(rows.columns))
+            rows = rows.union(_fallback(lonely, prepared, k, pool_size).select(rows.columns))
 
     by_id = prepared.withColumnRenamed("id", "student_id")
     counts = None
@@ -476,7 +480,7 @@ def with_student_columns(suggestions: DataFrame, students: DataFrame) -> DataFra
     return suggestions.join(shown, "student_id")
 
 
-def candidate_counts(queries: DataFrame, students: DataFrame, variations: DataFrame | None = None) -> DataFrame:
+def candidate_counts(queries: DataFrame, students: DataFrame, variations: DataFrame | None = None, pool_size: int | None = None) -> DataFrame:
     """(query_id, n_candidates): size of the candidate union, counted through profile sizes.
 
     Searches without any candidate count the fallback pool.  Matricule hits add the students
@@ -491,7 +495,7 @@ def candidate_counts(queries: DataFrame, students: DataFrame, variations: DataFr
         .groupBy("query_id")
         .agg(F.count("*").alias("extra"))
     )
-    pool = prepared.select("id").limit(FALLBACK_POOL).count()
+    pool = _pool(prepared.select("id"), pool_size).count()
     total = F.coalesce("n", F.lit(0)) + F.coalesce("extra", F.lit(0))
     counted = asked.join(by_name, "qp_id", "left").join(extra, "query_id", "left")
     return counted.select("query_id", F.when(total > 0, total).otherwise(F.lit(pool)).alias("n_candidates"))
@@ -542,7 +546,7 @@ def simple_suggestions(queries: DataFrame, students: DataFrame, limit: int = 5)
     Only the k first students of a stored value (in result order) can appear in any result
     that the value reaches, so each value joins with at most k rows.
     """
-    k = max(1, min(limit, MAX_LIMIT))
+    k = _limit(limit)
     low = students.select("id", "nom", "prenom", *[F.lower(c).alias(f"l_{c}") for c in ("nom", "prenom", "matricule")])
     asked = queries.select("query_id", *[F.lower(F.trim(F.coalesce(c, F.lit("")))).alias(f"q_{c}") for c in ("nom", "prenom", "matricule")])
     order = [F.asc("nom"), F.asc("prenom"), F.asc("id")]

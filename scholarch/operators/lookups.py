@@ -93,8 +93,10 @@ def _first_by(df: DataFrame, by: str, *order) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def find_completed_record(operations: DataFrame, records: DataFrame, recent: int = 200) -> DataFrame:
-    """Per operation the record of its file: inside its batch if it has one, else among the newest 200.
+def find_completed_record(operations: DataFrame, records: DataFrame, recent: int | None = None) -> DataFrame:
+    """Per operation the record of its file: inside its batch if it has one, else of any batch.
+
+    With `recent` only that many of the newest records are looked at for operations without a batch.
 
     Records are reduced to one per (batch, name) and the recent ones to one per name first,
     so each operation joins at most one row.
@@ -102,7 +104,7 @@ def find_completed_record(operations: DataFrame, records: DataFrame, recent: int
     named = records.withColumn("_name", F.lower(F.trim("file_name")))
     ops = operations.withColumn("_name", F.lower(base_name("saved_path"))).filter("_name <> ''")
     in_batch = named.groupBy("batch_id", "_name").agg(F.min_by("id", "pos").alias("record_id"))
-    newest = named.orderBy(F.desc("processed_at"), "pos").limit(recent)
+    newest = named if recent is None else named.orderBy(F.desc("processed_at"), "pos").limit(recent)
     anywhere = newest.groupBy("_name").agg(F.min_by("id", F.struct((-F.unix_timestamp("processed_at")).alias("t"), "pos")).alias("record_id"))
     a = ops.filter("batch_id is not null").join(in_batch, ["batch_id", "_name"]).select("operation_id", "record_id")
     b = ops.filter("batch_id is null").join(anywhere, "_name").select("operation_id", "record_id")

@@ -113,7 +113,8 @@ def load_grades(students: DataFrame, cells: DataFrame, year: str = "annee") -> d
     """Flattened student and module rows as inscription, period and grade tables.
 
     A person is the matricule, else the folded name.  On repeated keys the lowest page wins
-    (aggregates with map-side combine).  Notes outside 0-20 are left out.
+    (aggregates with map-side combine).  Notes outside 0-20 and notes without a code are not graded:
+    they come out as `rejected`, with the reason.
     """
     person = F.coalesce(F.col("matricule"), normalize_text(F.concat_ws(" ", "nom", "prenom"))).alias("etudiant")
     order = F.struct("page_number", "student_index")
@@ -127,12 +128,14 @@ def load_grades(students: DataFrame, cells: DataFrame, year: str = "annee") -> d
     graded = (
         cells.select(person, F.col(year).alias("annee"), "page_number", "student_index", "pos", "code", notes.alias("x"))
         .select("*", coerce_number(F.col("x.note")).alias("moy"))
-        .filter("code <> '' and moy between 0 and 20")
+        .filter("moy is not null")
+        .withColumn("reason", F.when(F.col("code") == "", "module without a code").when(~F.col("moy").between(0, 20), "note outside 0-20"))
     )
-    results = graded.groupBy("etudiant", "annee", F.col("x.periode").alias("periode"), "code").agg(
+    rejected = graded.filter("reason is not null").select("etudiant", "annee", F.col("x.periode").alias("periode"), "code", "page_number", "student_index", "pos", "moy", "reason")
+    results = graded.filter("reason is null").groupBy("etudiant", "annee", F.col("x.periode").alias("periode"), "code").agg(
         F.min_by("moy", F.struct("page_number", "student_index", "pos")).alias("moy")
     )
-    return {"inscription": inscription, "inscription_periode": periods, "resultat": results}
+    return {"inscription": inscription, "inscription_periode": periods, "resultat": results, "rejected": rejected}
 
 
 def document_from_record(records: DataFrame) -> DataFrame:
@@ -175,7 +178,7 @@ def merge_documents(registry: DataFrame, records: DataFrame, order: str) -> Data
     return kept.union(new)
 
 
-def merge_recent_cap(new: DataFrame, old: DataFrame, order: str, cap: int = 200) -> DataFrame:
+def merge_recent_cap(new: DataFrame, old: DataFrame, order: str, cap: int) -> DataFrame:
     """New records before old ones, the first `cap` kept (a top-k, no full sort)."""
     both = new.withColumn("_src", F.lit(0)).unionByName(old.withColumn("_src", F.lit(1)))
     return both.orderBy("_src", order).limit(cap).drop("_src")

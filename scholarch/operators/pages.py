@@ -260,16 +260,14 @@ def with_academic_summary(students: DataFrame) -> DataFrame:
     )
 
 
-def student_grid(pages: DataFrame, width: int) -> DataFrame:
-    """Two rows per student (S1, S2) with `width` module columns; no pivot, no shuffle."""
+def student_grid(pages: DataFrame) -> DataFrame:
+    """Two rows per student (S1, S2); `notes` holds one text per module of the page, in its order.
+
+    The number of modules is the page's own, so nothing is cut off; no pivot, no shuffle.
+    """
     rows = with_academic_summary(pad_modules(pages))
     sem = F.explode(F.array(F.lit("S1"), F.lit("S2"))).alias("sem")
     one = F.col("sem") == "S1"
-
-    def cell(i: int) -> Column:
-        m = F.get("modules", F.lit(i))
-        return F.coalesce(F.when(one, m["s1"]).otherwise(m["s2"]), F.lit("")).alias(f"module_{i}")
-
     return rows.select("*", sem).select(
         *PAGE_KEYS,
         "student_index",
@@ -277,7 +275,7 @@ def student_grid(pages: DataFrame, width: int) -> DataFrame:
         "nom",
         "prenom",
         F.coalesce("matricule", F.lit("")).alias("matricule"),
-        *[cell(i) for i in range(width)],
+        F.transform("modules", lambda m: F.coalesce(F.when(one, m["s1"]).otherwise(m["s2"]), F.lit(""))).alias("notes"),
         format_academic(F.when(one, F.col("avg_s1")).otherwise(F.col("avg_s2"))).alias("avg"),
         F.when(one, F.col("rank_s1")).otherwise(F.col("rank_s2")).alias("rank"),
         format_academic(F.col("annual_avg")).alias("annual_avg"),
@@ -289,24 +287,29 @@ def student_grid(pages: DataFrame, width: int) -> DataFrame:
     )
 
 
-def grid_to_students(grid: DataFrame, width: int) -> DataFrame:
-    """The inverse: two grid rows give one student with its module map; both names required."""
+def grid_to_students(grid: DataFrame) -> DataFrame:
+    """The inverse: two grid rows give one student with a map from module position to its notes.
+
+    Both names are required.  A semester with fewer notes than the other has nulls there.
+    """
+
+    def of(sem: str, value: Column) -> Column:
+        return F.max(F.when(F.col("sem") == sem, value))
+
+    names = [of("S1", trim_ws(F.col(n))).alias(n) for n in ("nom", "prenom", "matricule")]
+    folded = grid.groupBy(*PAGE_KEYS, "student_index").agg(*names, of("S1", F.col("notes")).alias("n1"), of("S2", F.col("notes")).alias("n2"))
 
-    def notes(sem: str) -> list[Column]:
-        return [F.max(F.when(F.col("sem") == sem, finite_or_null(trim_ws(F.col(f"module_{i}"))))).alias(f"{sem}_{i}") for i in range(width)]
+    def typed(notes: str) -> Column:
+        return F.transform(F.coalesce(notes, F.array().cast("array<string>")), lambda x: finite_or_null(trim_ws(x)))
 
-    names = [F.max(F.when(F.col("sem") == "S1", trim_ws(F.col(n)))).alias(n) for n in ("nom", "prenom", "matricule")]
-    folded = grid.groupBy(*PAGE_KEYS, "student_index").agg(*names, *notes("S1"), *notes("S2"))
-    pairs = []
-    for i in range(width):
-        pairs += [F.lit(i), F.struct(F.col(f"S1_{i}").alias("S1"), F.col(f"S2_{i}").alias("S2"))]
+    both = F.zip_with(typed("n1"), typed("n2"), lambda x, y: F.struct(x.alias("S1"), y.alias("S2")))
     return folded.filter("nom <> '' and prenom <> ''").select(
         *PAGE_KEYS,
         "student_index",
         "nom",
         "prenom",
         F.nullif("matricule", F.lit("")).alias("matricule"),
-        F.create_map(*pairs).alias("modules"),
+        F.map_from_entries(F.transform(both, lambda x, i: F.struct(i, x))).alias("modules"),
         F.lit(False).alias("is_first_year"),
     )
 

@@ -53,32 +53,54 @@ def audit_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
     return _union(parts)
 
 
-def cascade_delete(tables: dict[str, DataFrame], table: str, doomed: DataFrame) -> dict[str, DataFrame]:
-    """The tables after deleting the ids in `doomed` from `table`.
+def cascade_delete(tables: dict[str, DataFrame], table: str, doomed: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Delete the ids in `doomed` from `table`: (tables afterwards, refused ids).
 
-    CASCADE children follow, SET NULL children lose the reference, and ids referenced by a
-    RESTRICT child are kept.  Only tables given are touched.
+    Each id is one delete: all rows that CASCADE reaches from it go with it, SET NULL children
+    lose the reference, and if any row outside that closure refers to a row inside it by
+    RESTRICT, the whole delete of that id is refused and nothing of it changes.  The closure is
+    collected first, over the foreign keys among the tables given, which have no circles.
     """
+    keys = [k for k in FOREIGN_KEYS if k[0] in tables and k[2] in tables]
+    closure = {table: doomed.select(F.col("id").alias("root"), "id").distinct()}
+    reached = [table]
+    for parent in reached:  # grows while it is read
+        for child, column, _, rule in (k for k in keys if k[2] == parent and k[3] == "CASCADE" and "id" in tables[k[0]].columns):
+            rows = tables[child].select("id", F.col(column).alias("_p")).join(closure[parent].select("root", F.col("id").alias("_p")), "_p").select("root", "id")
+            closure[child] = rows if child not in closure else closure[child].union(rows).distinct()
+            if child not in reached:
+                reached.append(child)
+
+    refused = None
+    for child, column, parent, rule in keys:
+        if rule != "RESTRICT" or parent not in closure:
+            continue
+        held = tables[child].filter(F.col(column).isNotNull())
+        has_id = child in closure
+        rows = held.select(F.col(column).alias("_p"), *(["id"] if has_id else []))
+        if not has_id:
+            rows = rows.distinct()  # many references to one row are one
+        touching = rows.join(closure[parent].select("root", F.col("id").alias("_p")), "_p")
+        if has_id:
+            touching = touching.join(closure[child], ["root", "id"], "left_anti")
+        roots = touching.select("root").distinct()
+        refused = roots if refused is None else refused.union(roots)
+    blocked = doomed.select(F.col("id").alias("root")).limit(0) if refused is None else refused.distinct()
+
     out = dict(tables)
-    ids = doomed.select("id").distinct()
-    for child, column, parent, rule in FOREIGN_KEYS:
-        if parent == table and rule == "RESTRICT" and child in out:
-            ids = ids.join(out[child].select(F.col(column).alias("id")), "id", "left_anti")
-    out[table] = out[table].join(ids, "id", "left_anti")
-    for child, column, parent, rule in FOREIGN_KEYS:
-        if parent != table or child not in out:
+    gone = {name: rows.join(blocked, "root", "left_anti").select("id").distinct() for name, rows in closure.items()}
+    for name, ids in gone.items():
+        out[name] = out[name].join(ids, "id", "left_anti")
+    for child, column, parent, rule in keys:
+        if parent not in gone or rule == "RESTRICT":
             continue
-        gone = ids.select(F.col("id").alias(column))
-        if rule == "CASCADE":
-            if any(p == child for _, _, p, _ in FOREIGN_KEYS):
-                lost = out[child].join(gone, column, "left_semi").select("id")
-                out = cascade_delete(out, child, lost)
-            else:
-                out[child] = out[child].join(gone, column, "left_anti")
+        lost = gone[parent].select(F.col("id").alias(column))
+        if rule == "CASCADE" and child not in closure:
+            out[child] = out[child].join(lost, column, "left_anti")
         elif rule == "SET NULL":
-            marked = out[child].join(gone.withColumn("_gone", F.lit(True)), column, "left")
+            marked = out[child].join(lost.withColumn("_gone", F.lit(True)), column, "left")
             out[child] = marked.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*out[child].columns)
-    return out
+    return out, blocked.select(F.col("root").alias("id"))
 
 
 def validate_required_names(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -46,10 +46,10 @@ def _suggest(a, **kw):
     return L.suggest(a.requete(), a.etudiant(), a.variation_nom(), a.recherche_log_named(), **kw)
 
 
-_KEYS = f"""SELECT id, {S.soundex('n')} AS nom_soundex, {S.soundex('p')} AS prenom_soundex, '' AS nom_metaphone, '' AS prenom_metaphone,
+_KEYS = f"""SELECT id, {S.soundex('n')} AS nom_soundex, {S.soundex('p')} AS prenom_soundex,
   coalesce(array_to_string(list_sort({S.trigrams('n')}), '|'), '') AS nom_trigram, coalesce(array_to_string(list_sort({S.trigrams('p')}), '|'), '') AS prenom_trigram
   FROM (SELECT id, {S.norm('nom')} AS n, {S.norm('prenom')} AS p FROM etudiant)"""
-_KEY_COLS = ["id", "nom_soundex", "prenom_soundex", "nom_metaphone", "prenom_metaphone", "nom_trigram", "prenom_trigram"]
+_KEY_COLS = ["id", "nom_soundex", "prenom_soundex", "nom_trigram", "prenom_trigram"]
 
 
 @register("build_search_keys", _KEYS)
@@ -63,13 +63,6 @@ def rebuild_search_keys(a):
     return L.rebuild_search_keys(stale).select(_KEY_COLS)
 
 
-@register("metaphone_key")
-def metaphone_key(a):
-    from scholarch.functions.phonetic import with_metaphone
-
-    return with_metaphone(a.etudiant().select("id", "nom"), "nom", "key")
-
-
 @register(
     "candidates_substring",
     """SELECT 'nom' AS field, q.v AS searched, s.v AS stored, n AS n_students FROM (SELECT DISTINCT qn AS v FROM qf WHERE qn <> '') q JOIN (SELECT sn AS v, count(*) AS n FROM sf WHERE sn <> '' GROUP BY 1) s ON contains(s.v, q.v)

@@ -15,7 +15,7 @@ _FNE = S.fne
 # unified student rows of the three student page types
 UNIFIED = f"""
   SELECT k, i, nom, prenom, CASE WHEN type = 'multiple_students' THEN nullif(matricule, '') END AS matricule,
-         CASE WHEN type = 'multiple_students' THEN k % 4 + 1 ELSE 0 END AS nm,
+         CASE WHEN type = 'multiple_students' THEN {S.n_modules('k')} ELSE 0 END AS nm,
          CASE WHEN type = 'multiple_students' THEN {_FNE('df', 'dj', 'decision')} ELSE nullif(decision, '') END AS decision,
          CASE WHEN type = 'multiple_students' THEN {S.finite(_FNE('m1'))} END AS avg_s1, CASE WHEN type = 'multiple_students' THEN {S.finite(_FNE('m2'))} END AS avg_s2,
          CASE WHEN type = 'multiple_students' THEN {S.finite(_FNE('ma'))} END AS annual_avg, CASE WHEN type = 'multiple_students' THEN {S.finite(_FNE('r1'))} END AS rank_s1,
@@ -128,41 +128,39 @@ def generic_module_count(a):
     return _one_page(P.generic_module_count(a.page()), "module_count", "generic_count")
 
 
-GRID_WIDTH = 5
 _GRID = """
-  SELECT s.*, sem, {cells}, CASE WHEN sem = 'S1' THEN avg_s1 ELSE avg_s2 END AS v, CASE WHEN sem = 'S1' THEN rank_s1 ELSE rank_s2 END AS rank
-  FROM summary s CROSS JOIN (VALUES ('S1'), ('S2')) t(sem) {joins}""".format(
-    cells=", ".join(f"coalesce(CASE WHEN sem = 'S1' THEN c{i}.s1 ELSE c{i}.s2 END, '') AS module_{i}" for i in range(GRID_WIDTH)),
-    joins=" ".join(f"LEFT JOIN cells c{i} ON c{i}.k = s.k AND c{i}.i = s.i AND c{i}.j = {i}" for i in range(GRID_WIDTH)),
-)
+  SELECT s.*, sem, coalesce(CASE WHEN sem = 'S1' THEN n1 ELSE n2 END, '') AS notes, CASE WHEN sem = 'S1' THEN avg_s1 ELSE avg_s2 END AS v, CASE WHEN sem = 'S1' THEN rank_s1 ELSE rank_s2 END AS rank
+  FROM summary s CROSS JOIN (VALUES ('S1'), ('S2')) t(sem)
+  LEFT JOIN (SELECT k, i, string_agg(coalesce(s1, ''), '|' ORDER BY j) AS n1, string_agg(coalesce(s2, ''), '|' ORDER BY j) AS n2 FROM cells GROUP BY ALL) c ON c.k = s.k AND c.i = s.i"""
 _SHOW = "coalesce(printf('%.2f', " + S.rnd("{0}", 2) + "), '')"
 
 
 @register(
     "student_grid",
-    f"SELECT k, i AS student_index, sem, nom, prenom, matricule, {', '.join(f'module_{i}' for i in range(GRID_WIDTH))}, {_SHOW.format('v')} AS avg, rank, {_SHOW.format('annual_avg')} AS annual_avg, annual_rank, decision_june, {_SHOW.format(S.finite('stage'))} AS stage, final_decision FROM grid",
+    f"SELECT k, i AS student_index, sem, nom, prenom, matricule, notes, {_SHOW.format('v')} AS avg, rank, {_SHOW.format('annual_avg')} AS annual_avg, annual_rank, decision_june, {_SHOW.format(S.finite('stage'))} AS stage, final_decision FROM grid",
     unified=UNIFIED,
     cells=CELLS,
     summary=SUMMARY,
     grid=_GRID,
 )
 def student_grid(a):
-    rows = P.student_grid(a.page(), GRID_WIDTH)
+    rows = P.student_grid(a.page()).withColumn("notes", F.array_join("notes", "|"))
     return _one_page(rows, *[c for c in rows.columns if c not in (*P.PAGE_KEYS, "diploma")])
 
 
 @register(
     "grid_to_students",
-    f"""SELECT k, i AS student_index, trim(nom) AS nom, trim(prenom) AS prenom, nullif(matricule, '') AS matricule,
-        {', '.join(f"{S.finite(f'module_{i}')} AS s1_{i}" for i in range(GRID_WIDTH))} FROM grid WHERE sem = 'S1' AND nom <> '' AND prenom <> ''""",
+    f"""SELECT s.k, s.i AS student_index, trim(nom) AS nom, trim(prenom) AS prenom, nullif(matricule, '') AS matricule, c.j AS pos, {S.finite("coalesce(c.s1, '')")} AS s1, {S.finite("coalesce(c.s2, '')")} AS s2
+        FROM summary s LEFT JOIN cells c ON c.k = s.k AND c.i = s.i WHERE nom <> '' AND prenom <> ''""",
     unified=UNIFIED,
     cells=CELLS,
     summary=SUMMARY,
-    grid=_GRID,
 )
 def grid_to_students(a):
-    rows = P.grid_to_students(P.student_grid(a.page(), GRID_WIDTH), GRID_WIDTH)
-    return _one_page(rows, "student_index", "nom", "prenom", "matricule", *[F.col("modules")[i]["S1"].alias(f"s1_{i}") for i in range(GRID_WIDTH)])
+    """One row per student and module position (null position: a student without modules)."""
+    rows = P.grid_to_students(P.student_grid(a.page()))
+    cells = rows.select("page_number", "student_index", "nom", "prenom", "matricule", F.explode_outer("modules").alias("pos", "note"))
+    return _one_page(cells, "student_index", "nom", "prenom", "matricule", "pos", F.col("note.S1").alias("s1"), F.col("note.S2").alias("s2"))
 
 
 @register(
@@ -466,7 +464,7 @@ SCORES = f"""
   FROM page p LEFT JOIN (
     SELECT k, sum(6 + 4 * matched - 2 * abs(nm - 6) + (v1 IS NOT NULL)::INT + (v2 IS NOT NULL)::INT + (va IS NOT NULL)::INT
       + CASE WHEN v1 IS NULL OR v2 IS NULL OR va IS NULL THEN 0 WHEN abs((v1 + v2) / 2 - va) <= 0.011 THEN 3 ELSE -1 END)::BIGINT AS score
-    FROM (SELECT s.k, s.s, k % 4 + 1 AS nm, {S.decimal_value('m1')} AS v1, {S.decimal_value('m2')} AS v2, {S.decimal_value('ma')} AS va,
+    FROM (SELECT s.k, s.s, {S.n_modules('k')} AS nm, {S.decimal_value('m1')} AS v1, {S.decimal_value('m2')} AS v2, {S.decimal_value('ma')} AS va,
           (SELECT count(DISTINCT upper(trim(m.code))) FROM student_module m WHERE m.s = s.s AND upper(trim(m.code)) IN ('MAT','FOR','PLI','GES','ANG','STR')) AS matched FROM student s) GROUP BY k) t ON t.k = p.k"""
 
 

@@ -13,6 +13,11 @@ from scholarch.sources.adapters import CODES, DECISIONS, RANKS, READINGS, SECTIO
 WS_RE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 
 
+def n_modules(k: str) -> str:
+    """Modules of a student on page k; a few pages have more than ten."""
+    return f"(CASE WHEN {k} % 50 = 9 THEN 12 ELSE {k} % 4 END + 1)"
+
+
 def norm(x: str) -> str:
     return f"trim(regexp_replace(lower(strip_accents(coalesce({x},''))), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -136,12 +141,12 @@ def _module_fields(x: str, single: bool) -> str:
 _S = "(k*3+i)"
 CTES: dict[str, str] = {
     "etudiant": """
-  SELECT doc_id AS id, t[1] AS nom, t[2] AS prenom,
+  SELECT doc_id AS id, t[1 + (doc_id * 31) % len(t)] AS nom, t[1 + (doc_id * 17 + 5) % len(t)] AS prenom,
          (74 + doc_id % 11)::VARCHAR || '/' || lpad(doc_id::VARCHAR, 9, '0') AS matricule,
          CASE doc_id % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' END AS sexe,
          DATE '1955-01-01' + (doc_id % 3650)::INTEGER AS date_naissance, source AS lieu_naissance
-  FROM (SELECT doc_id, source, string_split_regex(regexp_replace(text, '^\\s+', ''), '\\s+') AS t FROM documents)
-  WHERE len(t) >= 2 AND t[2] <> ''""",
+  FROM (SELECT doc_id, source, string_split_regex(regexp_replace(text, '^[ \\t\\n\\f\\r]+|[ \\t\\n\\f\\r]+$', '', 'g'), '[ \\t\\n\\f\\r]+') AS t FROM documents)
+  WHERE len(t) >= 2""",
     "requete": """
   SELECT id AS query_id, CASE WHEN id % 20 = 0 OR length(nom) < 2 THEN nom ELSE substr(nom, 1, length(nom) - 1) END AS nom,
          prenom, CASE WHEN id % 30 = 0 THEN matricule END AS matricule
@@ -207,7 +212,7 @@ CTES: dict[str, str] = {
          CASE WHEN k % 2 = 0 THEN 'Ville ' || (k % 50)::VARCHAR END AS lieu_naissance,
          CASE WHEN k % 3 = 0 THEN 'F' END AS sexe, year(o_orderdate)::VARCHAR || '-x' AS annee_univ
   FROM (SELECT o_orderkey AS k, o_custkey, o_orderdate, e.nom, e.prenom, e.matricule, e.date_naissance
-        FROM orders LEFT JOIN etudiant e ON e.id = o_custkey)""",
+        FROM orders LEFT JOIN etudiant e ON e.id = o_custkey AND o_orderkey % 11 <> 3)""",
     "operation_event": """
   SELECT event_id, user_id AS operation_id,
          CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'cancelled' ELSE 'failed' END ELSE 'processing' END AS status,
@@ -261,7 +266,7 @@ CTES: dict[str, str] = {
   FROM page, unnest(range(0, k % 3 + 1)) AS u(i) WHERE type IN ('multiple_students', 'resultats_annonce')""",
     "student_module": f"""
   SELECT k, c, i, s, batch_id, file_name, page_number, type, j, {_module_fields('s*4+j', False)}
-  FROM student, unnest(range(0, k % 4 + 1)) AS u(j)""",
+  FROM student, unnest(range(0, {n_modules('k')})) AS u(j)""",
     "matiere_row": f"""
   SELECT k, c, batch_id, file_name, page_number, j, CASE WHEN (k + j) % 9 = 0 THEN '' ELSE {pick('j', *TABLE_CODES)} END AS abrev,
          CASE WHEN (k + j) % 18 = 0 THEN '' ELSE 'Matière ' || j::VARCHAR END AS libelle, {raw_number('k+j')} AS c1, {raw_number('k+j+1')} AS c2,

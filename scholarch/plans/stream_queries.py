@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scholarch.operators import learning as Le
 from scholarch.plans.catalog import register
+from scholarch.plans.linkage_queries import CONF
 from scholarch.plans.table_queries import _conversation_pages
 from scholarch.sources.adapters import Archive
 from scholarch.streaming import jobs as J
@@ -96,17 +97,30 @@ def stream_search_analytics(a):
     return _drain(a, "events", lambda s: J.search_analytics_stream(s.recherche_log()))
 
 
-@register("stream_confirmations", "SELECT etudiant_id, variation, n FROM (SELECT c.selected_student_id AS etudiant_id, 1 AS variation, count(*) AS n FROM confirmation c JOIN etudiant e ON e.id = c.selected_student_id GROUP BY 1)")
+@register(
+    "stream_confirmations",
+    """SELECT coalesce(v.etudiant_id, k.sid) AS etudiant_id, coalesce(v.variation, k.normed) AS variation, (coalesce(v.frequence, 0) + coalesce(k.n, 0))::BIGINT AS frequence
+       FROM variation_nom v FULL JOIN (SELECT sid, normed, count(*) AS n FROM conf GROUP BY ALL) k ON k.sid = v.etudiant_id AND k.normed = v.variation""",
+    conf=CONF,
+)
 def stream_confirmations(a):
-    """Each micro-batch merged into the variations; shown as confirmations learned per student."""
+    """Each micro-batch merged into the standing variations; the table after the last one."""
     out, checkpoint = J.locations(a.spark, "confirmations")
     session = J.isolated_session(a.spark)
     stream = StreamArchive(session, a.folder, "events").confirmation()
+    standing = Archive(a.spark, a.folder)
+    names = ["etudiant_id", "variation", "frequence"]
+    standing.variation_nom().select(names).write.parquet(f"{out}/version=0")
 
     def learn(batch, epoch):
-        static = Archive(batch.sparkSession, a.folder)
-        empty = static.variation_nom().limit(0)
-        Le.confirm_selection(batch, static.etudiant(), empty).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    J.confirmations_stream(stream, learn, checkpoint).awaitTermination()
-    return a.spark.read.parquet(out).groupBy("etudiant_id").agg(F.lit(1).alias("variation"), F.sum("frequence").alias("n"))
+        # a version per micro-batch, made from the one before it: writing it again changes nothing
+        own = batch.sparkSession
+        before = own.read.parquet(f"{out}/version={epoch}")
+        merged = Le.confirm_selection(batch, Archive(own, a.folder).etudiant(), before)
+        merged.select(names).write.mode("overwrite").parquet(f"{out}/version={epoch + 1}")
+
+    query = J.confirmations_stream(stream, learn, checkpoint)
+    query.awaitTermination()
+    last = query.lastProgress
+    version = 0 if last is None else last.batchId + 1
+    return a.spark.read.parquet(f"{out}/version={version}").select("etudiant_id", "variation", F.col("frequence").cast("long").alias("frequence"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scholarch.functions.text import full_search_term, normalize_text
 from scholarch.operators.pages import read_page_results
+from scholarch.session import spread
 
 
 class Archive:
@@ -26,14 +27,20 @@ class Archive:
 
     # --- people ------------------------------------------------------------------
     def etudiant(self) -> DataFrame:
-        words = F.split(F.ltrim("text", F.lit(" \t\n\f\r")), "\\s+", 3)
+        """A person per document: two words from anywhere in its text, placed by the document's number."""
+        words = F.split(F.btrim("text", F.lit(" \t\n\f\r")), "[ \\t\\n\\f\\r]+")
         number = F.col("doc_id").cast("string")
         # the generator keeps the split of the whole text from being repeated in the pushed filter
         return (
             self.table("documents")
             .select("doc_id", "source", F.explode_outer(F.array(words)).alias("w"))
-            .select("doc_id", "source", F.get("w", F.lit(0)).alias("nom"), F.get("w", F.lit(1)).alias("prenom"))
-            .filter(F.col("prenom") != "")
+            .filter(F.size("w") >= 2)
+            .select(
+                "doc_id",
+                "source",
+                F.get("w", (F.col("doc_id") * 31 % F.size("w")).cast("int")).alias("nom"),
+                F.get("w", ((F.col("doc_id") * 17 + 5) % F.size("w")).cast("int")).alias("prenom"),
+            )
             .select(
                 F.col("doc_id").alias("id"),
                 "nom",
@@ -265,7 +272,9 @@ class Archive:
         e = self.etudiant().select(F.col("id").alias("o_custkey"), "nom", "prenom", "matricule", "date_naissance")
         k, known = F.col("o_orderkey"), F.col("nom").isNotNull()
         invented = F.translate(F.col("o_custkey").cast("string"), "0123456789", "abekilmors")
-        return o.join(e, "o_custkey", "left").select(
+        # every eleventh row or so names nobody the table knows
+        hidden = o.withColumn("o_person", F.when(k % 11 != 3, F.col("o_custkey")))
+        return hidden.join(e.withColumnRenamed("o_custkey", "o_person"), "o_person", "left").select(
             k.alias("index"),
             F.when(k % 37 == 0, "  ").when(known, F.col("nom")).otherwise(F.concat(F.lit("Nouveau"), invented)).alias("nom"),
             F.when(known, F.col("prenom")).otherwise(invented).alias("prenom"),
@@ -315,14 +324,11 @@ class Archive:
     def page_text(self) -> DataFrame:
         """One page document (JSON text) per order, built from the order's own numbers.
 
-        Bounded size, no grouping.  A small table is spread over the cores first because
-        building and parsing documents is CPU work; a table of many splits is left alone.
+        Bounded size, no grouping.  The keys (a few bytes each) are dealt out evenly first, because
+        building and parsing documents multiplies their bytes.
         """
         base = self.table("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.year("o_orderdate").alias("yr"))
-        cores = self.spark.sparkContext.defaultParallelism
-        if base.rdd.getNumPartitions() < cores:
-            base = base.repartition(cores)
-        return base.selectExpr(
+        return spread(base, "k").selectExpr(
             "k",
             "concat('batch_', c % 20) AS batch_id",
             "concat('doc_', c, '.pdf') AS file_name",
@@ -440,7 +446,7 @@ _STUDENT = _named(
     prenom=f"concat('Prénom ', {_letters('s % 1000')})",
     matricule="CASE WHEN s % 5 = 0 THEN null WHEN s % 7 = 0 THEN '' ELSE concat(74 + s % 11, '/', s) END",
     decision=_pick("s + 1", DECISIONS),
-    modules=f"transform(sequence(0, int(k % 4)), j -> {_STUDENT_MODULE})",
+    modules=f"transform(sequence(0, int(if(k % 50 = 9, 12, k % 4))), j -> {_STUDENT_MODULE})",
     moyenne=_named(S1=_raw("s * 11 + 1"), S2=_raw("s * 11 + 2"), annuel=_raw("s * 11 + 3")),
     rang=_named(S1=_rank("s"), S2=_rank("s + 1"), annuel=_rank("s + 4")),
     decisionDeJuin=_pick("s", DECISIONS),

@@ -178,7 +178,7 @@ def stale_operations(state: DataFrame, now: str, stale_seconds: int = STALE_SECO
     """Batch twin of the timer: state as of `now`, silent processing operations marked failed/stale."""
     age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("updated_at")
     stale = (F.col("status") == "processing") & (F.col("stage") != STALE_STAGE_EXEMPT) & (age >= stale_seconds)
-    text = F.lit(f"Extraction was marked failed because it stopped updating for more than {stale_seconds} seconds.")
+    text = F.lit(f"No update within {stale_seconds} s: closed as failed.")
     return state.withColumns(
         {
             "status": F.when(stale, "failed").otherwise(F.col("status")),
