@@ -21,6 +21,7 @@ _NAME_HIT = """((qsn <> '' AND qsn = ssn) OR (qsp <> '' AND qsp = ssp) OR (qn <>
 _MAT_HIT = "(qm <> '' AND contains(sm, qm))"
 BONUS = """CASE WHEN variation IS NULL OR variation = '' THEN 0.0 WHEN "full" <> '' AND variation = "full" THEN 18.0 + freq WHEN "full" <> '' AND contains(variation, "full") THEN 10.0 + freq
   WHEN qn <> '' AND qp <> '' AND (contains(variation, qn) OR contains(variation, qp)) THEN 7.0 + freq ELSE 0.0 END"""
+LONELY = f"SELECT query_id FROM qf WHERE query_id NOT IN (SELECT DISTINCT query_id FROM qf JOIN sf ON ({_NAME_HIT} OR {_MAT_HIT}))"
 SCORED = f"""
   SELECT query_id, id, names, mat, sxn, sxp, dn, dp, bonus, hist, variation, "full", qn, qp, sn, sp,
          round((((((((names + mat) + sxn) + sxp) + dn * 12.0::DOUBLE) + dp * 12.0::DOUBLE) + bonus) + hist)::DOUBLE, 2) AS score
@@ -28,8 +29,8 @@ SCORED = f"""
     CASE WHEN qn <> '' AND qp <> '' AND qn = sn AND qp = sp THEN 35.0 ELSE CASE WHEN qn <> '' AND qn = sn THEN 15.0 ELSE 0.0 END + CASE WHEN qp <> '' AND qp = sp THEN 15.0 ELSE 0.0 END END::DOUBLE AS names,
     CASE WHEN qm = '' OR sm = '' THEN 0.0 WHEN qm = sm THEN 22.0 WHEN contains(sm, qm) THEN 10.0 ELSE 0.0 END::DOUBLE AS mat,
     CASE WHEN qsn <> '' AND qsn = ssn THEN 8.0 ELSE 0.0 END::DOUBLE AS sxn, CASE WHEN qsp <> '' AND qsp = ssp THEN 8.0 ELSE 0.0 END::DOUBLE AS sxp,
-    ({S.dice('qgn', 'sgn')})::DOUBLE AS dn, ({S.dice('qgp', 'sgp')})::DOUBLE AS dp, ({BONUS})::DOUBLE AS bonus, least(coalesce(h.n, 0) * 3.0, 9.0)::DOUBLE AS hist
-    FROM qf JOIN sf ON ({_NAME_HIT} OR {_MAT_HIT}) LEFT JOIN hist h ON h.term = "full" AND h.sid = id)"""
+    ({S.dice('qgn', 'sgn')})::DOUBLE AS dn, ({S.dice('qgp', 'sgp')})::DOUBLE AS dp, ({BONUS})::DOUBLE AS bonus, CASE WHEN query_id IN (SELECT query_id FROM lonely) THEN 0.0 ELSE least(coalesce(h.n, 0) * 3.0, 9.0) END::DOUBLE AS hist
+    FROM (SELECT qf.*, sf.* FROM qf JOIN sf ON ({_NAME_HIT} OR {_MAT_HIT}) UNION ALL SELECT qf.*, sf.* FROM lonely JOIN qf USING (query_id) JOIN sf ON true) LEFT JOIN hist h ON h.term = "full" AND h.sid = id)"""
 _REASONS = """array_to_string(list_filter([
   CASE WHEN qn <> '' AND qn = sn AND qp <> '' AND qp = sp THEN 'exact nom+prenom' WHEN qn <> '' AND qn = sn THEN 'exact nom' END,
   CASE WHEN NOT (qn <> '' AND qn = sn) AND qp <> '' AND qp = sp THEN 'exact prenom' END,
@@ -39,7 +40,7 @@ _REASONS = """array_to_string(list_filter([
   CASE WHEN bonus > 0 THEN CASE WHEN variation = "full" THEN 'historical variation exact match' WHEN contains(variation, "full") THEN 'historical variation partial match' ELSE 'historical variation token match' END END,
   CASE WHEN hist > 0 THEN 'historical user correction' END], lambda r: r IS NOT NULL)[1:8], '; ')"""
 TOP = f"SELECT query_id, id AS student_id, rank, score, {_REASONS} AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 5"
-LINK = {"qf": QF, "sf": SF, "hist": HIST, "scored": SCORED}
+LINK = {"qf": QF, "sf": SF, "hist": HIST, "lonely": LONELY, "scored": SCORED}
 
 
 def _suggest(a, **kw):
@@ -96,7 +97,7 @@ def candidates_variation(a):
     return L.candidates_variation(a.requete(), a.variation_nom())
 
 
-@register("candidates_union", f"SELECT query_id, count(*) AS n_candidates FROM qf JOIN sf ON ({_NAME_HIT} OR {_MAT_HIT}) GROUP BY query_id", qf=QF, sf=SF)
+@register("candidates_union", f"SELECT query_id, count(*) AS n_candidates FROM qf JOIN sf ON ({_NAME_HIT} OR {_MAT_HIT}) GROUP BY query_id UNION ALL SELECT query_id, (SELECT count(*) FROM etudiant) FROM lonely", qf=QF, sf=SF, lonely=LONELY)
 def candidates_union(a):
     return L.candidate_counts(a.requete(), a.etudiant(), a.variation_nom())
 
