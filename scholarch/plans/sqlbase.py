@@ -156,7 +156,7 @@ CTES: dict[str, str] = {
          (1 + id % 7)::INTEGER AS frequence
   FROM etudiant JOIN labels ON id = doc_id""",
     "recherche_log": """
-  SELECT event_id AS id, CASE WHEN user_id % 7 <> 0 THEN user_id END AS etudiant_id, user_id AS cible_id,
+  SELECT event_id AS id, CASE WHEN user_id % 7 <> 0 THEN CASE WHEN event_id % 97 = 5 THEN 1000000000 + user_id ELSE user_id END END AS etudiant_id, user_id AS cible_id,
          event_type AS type_recherche, floor(value)::INTEGER AS resultats_trouves,
          regexp_extract(props, '[0-9]+')::INTEGER % 2 AS correction_utilisateur, ts AS date_recherche
   FROM events""",

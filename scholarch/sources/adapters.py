@@ -87,7 +87,8 @@ class Archive:
         )
         return e.select(
             "id",
-            F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("etudiant_id"),
+            # now and then a student that the table does not have
+            F.when(F.col("user_id") % 7 != 0, F.when(F.col("id") % 97 == 5, F.col("user_id") + 1_000_000_000).otherwise(F.col("user_id"))).alias("etudiant_id"),
             F.col("user_id").alias("cible_id"),
             "type_recherche",
             "resultats_trouves",

@@ -10,6 +10,8 @@ from scholarch.functions import json_text, labels, numbers, text
 from scholarch.operators import identity as I
 from scholarch.operators import linkage as L
 from scholarch.operators import modules as M
+from scholarch.operators import quality as Q
+from scholarch.sources import files
 
 
 def one(spark, column, value, kind="string"):
@@ -27,9 +29,17 @@ def test_soundex(spark, word, key):
 
 def test_normalize_text(spark):
     assert one(spark, text.normalize_text, "  É-l'Ève ﬁn Ĳ  9 ") == "e l eve fin ij 9"
+    assert one(spark, text.normalize_text, "™ № 𝐀 ㎢ ½ Å") == "tm no a km2 1 2 a"
     assert one(spark, text.normalize_text, None) == ""
 
 
+def test_normalize_text_is_exact_for_every_character(spark):
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = [("".join(f"a{chr(c)}b " for c in points[i : i + 97]),) for i in range(0, len(points), 97)]
+    df = spark.createDataFrame(rows, "x string")
+    assert df.select(text.normalize_text(F.col("x")).alias("a"), text.normalize_text_exact("x").alias("b")).filter("a <> b").count() == 0
+
+
 @pytest.mark.parametrize("raw, want", [("12,5abc", 12.5), ("abc", None), ("", None), (".5", 0.5), ("-3", -3.0)])
 def test_coerce_number(spark, raw, want):
     assert one(spark, numbers.coerce_number, raw) == want
@@ -111,19 +121,58 @@ def test_suggest_fallback_and_hot_name(spark):
     assert got[3] == [39, 0, 1]
 
 
-def test_reconcile_reaches_update(spark):
+def test_reconcile_outcomes(spark):
+    """With unique ids and numbers the found number belongs to another row, so no case is an update."""
     s = spark.createDataFrame(
-        [(1, "Ali", "Ben", "74/1"), (2, "Ali", "Ben", "TMP-1"), (3, "Ada", "Lo", "TMP-2"), (3, "Ada", "Lo", "75/9")],
+        [(1, "Ali", "Ben", "74/1"), (2, "Ali", "Ben", "TMP-1"), (3, "Ada", "Lo", "75/9")],
         "id long, nom string, prenom string, matricule string",
     )
     cases = spark.createDataFrame(
-        [("a", "pending", "ALI", "Ben", "TMP-1"), ("b", "pending", "ada", "Lo", "TMP-2"), ("c", "pending", "No", "One", "TMP-3"), ("d", "resolved", "Ali", "Ben", "TMP-1")],
+        [("a", "pending", "ALI", "Ben", "TMP-1"), ("b", "pending", "ada", "Lo", "TMP-2"), ("c", "pending", "No", "One", "TMP-3"), ("d", "resolved", "Ali", "Ben", "TMP-1"), ("e", "pending", "Ada", "Lo", "75/9")],
         "case_id string, status string, nom string, prenom string, generated_matricule string",
     )
     got = {r["case_id"]: r["outcome"] for r in I.reconcile_pending(cases, s).collect()}
-    assert got["a"] == "real_matricule_already_assigned"
-    assert got["c"] == "no_match_found"
-    assert got["b"] in ("update", "already_same_matricule") and set(got) == {"a", "b", "c"}
+    assert got == {"a": "real_matricule_already_assigned", "b": "temporary_student_not_found", "c": "no_match_found", "e": "already_same_matricule"}
+
+
+def test_reconciliation_is_applied(spark):
+    s = spark.createDataFrame([(1, "TMP-1"), (2, "74/2")], "id long, matricule string")
+    cases = spark.createDataFrame([("a", "pending"), ("b", "pending")], "case_id string, status string")
+    outcomes = spark.createDataFrame([("a", 1, "75/7", "update"), ("b", 2, "75/8", "no_match_found")], "case_id string, temporary_student_id long, found_matricule string, outcome string")
+    students, queue = I.apply_reconciliation(outcomes, cases, s, "now", preview=False)
+    assert {r.id: r.matricule for r in students.collect()} == {1: "75/7", 2: "74/2"}
+    assert {r.case_id: (r.status, r.resolved_matricule, r.resolved_at) for r in queue.collect()} == {"a": ("resolved", "75/7", "now"), "b": ("pending", None, None)}
+    assert I.apply_reconciliation(outcomes, cases, s, "now") == (s, cases)
+
+
+def test_cascade_refuses_a_parent_that_is_still_needed(spark):
+    def rows(columns, *values):
+        return spark.createDataFrame(values, columns)
+
+    tables = {
+        "programme": rows("id long", (1,), (2,), (3,)),
+        "formation": rows("id long, programme_id long, annee_univ_id long", (30, 3, 1)),
+        "periode_programme": rows("id long, programme_id long", (10, 1), (20, 2)),
+        "module": rows("id long, matiere_id long, periode_id long", (100, 1, 10), (200, 2, 20)),
+        "resultat": rows("inscriptionPer_id long, module_id long", (7, 100)),
+    }
+    out, refused = Q.cascade_delete(tables, "programme", rows("id long", (1,), (2,), (3,)))
+    assert {r.id for r in refused.collect()} == {1, 3}  # a graded module; a formation
+    left = {n: sorted(r[0] for r in df.collect()) for n, df in out.items()}
+    assert left == {"programme": [1, 3], "formation": [30], "periode_programme": [10], "module": [100], "resultat": [7]}
+
+
+def test_newest_batch_files_come_first(spark, tmp_path):
+    import json
+    import os
+
+    for n, when in ((1, 100), (2, 300), (3, 200)):
+        path = tmp_path / f"b{n}.json"
+        path.write_text(json.dumps({"batch_id": f"b{n}", "count": 2, "records": [{"id": f"{n}-{i}"} for i in range(2)]}, indent=2))
+        os.utime(path, (when, when))
+    (tmp_path / "broken.json").write_text("{ broken")
+    assert [r.id for r in files.scan_completed(spark, str(tmp_path), 5).collect()] == ["2-0", "2-1", "3-0", "3-1", "1-0"]
+    assert files.scan_completed(spark, str(tmp_path)).count() == 6
 
 
 def test_generated_numbers_are_repeatable_and_unique(spark):
