@@ -20,7 +20,7 @@ PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w
 # Where the modules' tables may differ: separators 1C-1F, fraction and superscript digits, and
 # everything past the blocks that all versions of the character tables agree on.
 RARE = re.compile("[\x1c-\x1f²³¹¼-¾͸-\U0010ffff]")
-# Entries of a worker's memos of chunks and of words; a full one is emptied.
+# Entries of a worker's memos of chunks and of words; a full one takes no more.
 MEMO_ENTRIES = 400_000
 WORD_MEMO_ENTRIES = 800_000
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholarch.llm import lexicon
-from scholarch.llm.bpe import MEMO_ENTRIES, Vocabulary, chunks, vocabulary
+from scholarch.llm.bpe import MEMO_ENTRIES, WORD_MEMO_ENTRIES, Vocabulary, chunks, vocabulary
 from scholarch.llm.common import column, text_slices
 from scholarch.session import materialize
 
@@ -35,8 +35,9 @@ MAX_WORD_BYTES = 64
 # steps of the frequency threshold per doubling
 STEPS = 8
 
-# per vocabulary and lexicon: packed ids of chunks and of words outside the lexicon
-_memos: dict[tuple[str, str], tuple[dict[str, bytes], dict[bytes, list[int]]]] = {}
+# per vocabulary and lexicon: packed ids of the first chunks and words seen by this Python worker;
+# frequent ones come early, so a full memo is left as it is
+_memos: dict[tuple[str, str], tuple[dict[str, bytes], dict[str, bytes]]] = {}
 _lexicons: dict[str, lexicon.Lexicon] = {}
 
 
@@ -101,7 +102,14 @@ def compile_lexicon(docs: DataFrame, vocab_path: str, lexicon_words: int, text_c
     return name
 
 
-def encode_text(vocab: Vocabulary, words: lexicon.Lexicon, text: str, memo: dict[str, bytes], unseen: dict[bytes, list[int]]) -> bytes:
+def encode_word(vocab: Vocabulary, words: lexicon.Lexicon, word: str) -> bytes:
+    """Packed ids of a word: those of the lexicon, or for an unseen word those of an exact merge."""
+    raw = word.encode()
+    found = words.find(raw)
+    return array("I", vocab.word_ids(raw) if found is None else found).tobytes()
+
+
+def encode_text(vocab: Vocabulary, words: lexicon.Lexicon, text: str, memo: dict[str, bytes], known: dict[str, bytes]) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit integers; the memos only save work."""
     out = []
     for part, added in vocab.parts(text):
@@ -111,23 +119,16 @@ def encode_text(vocab: Vocabulary, words: lexicon.Lexicon, text: str, memo: dict
         for chunk in chunks(part):
             packed = memo.get(chunk)
             if packed is None:
-                ids: list[int] = []
+                ids = []
                 for word in vocab.words(chunk):
-                    raw = word.encode()
-                    found = words.find(raw)
+                    found = known.get(word)
                     if found is None:
-                        found = unseen.get(raw)
-                        if found is None:
-                            found = vocab.word_ids(raw)
-                            if len(raw) <= MAX_WORD_BYTES:
-                                if len(unseen) >= MEMO_ENTRIES:
-                                    unseen.clear()
-                                unseen[raw] = found
-                    ids += found
-                packed = array("I", ids).tobytes()
-                if len(memo) >= MEMO_ENTRIES:
-                    memo.clear()
-                if len(chunk) <= MAX_WORD_BYTES:
+                        found = encode_word(vocab, words, word)
+                        if len(known) < WORD_MEMO_ENTRIES and len(word) <= MAX_WORD_BYTES:
+                            known[word] = found
+                    ids.append(found)
+                packed = b"".join(ids)
+                if len(memo) < MEMO_ENTRIES and len(chunk) <= MAX_WORD_BYTES:
                     memo[chunk] = packed
             out.append(packed)
     return b"".join(out)
@@ -139,7 +140,7 @@ def decode_ids(vocab: Vocabulary, packed: bytes) -> str:
     return b"".join([table.get(i, b"") for i in memoryview(packed).cast("I")]).decode("utf-8", "replace")
 
 
-def _worker(vocab_path: str, name: str) -> tuple[Vocabulary, lexicon.Lexicon, tuple[dict[str, bytes], dict[bytes, list[int]]]]:
+def _worker(vocab_path: str, name: str) -> tuple[Vocabulary, lexicon.Lexicon, tuple[dict[str, bytes], dict[str, bytes]]]:
     path = SparkFiles.get(name)
     if path not in _lexicons:
         _lexicons.clear()

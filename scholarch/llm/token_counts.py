@@ -35,14 +35,10 @@ def count_tokens(vocab: Vocabulary, text: str, memo: dict[str, int], words: dict
                     known = words.get(word)
                     if known is None:
                         known = vocab.count_word(word)
-                        if len(word) <= 64:
-                            if len(words) >= WORD_MEMO_ENTRIES:
-                                words.clear()
+                        if len(words) < WORD_MEMO_ENTRIES and len(word) <= 64:
                             words[word] = known
                     n += known
-                if len(memo) >= MEMO_ENTRIES:
-                    memo.clear()
-                if len(chunk) <= 64:
+                if len(memo) < MEMO_ENTRIES and len(chunk) <= 64:
                     memo[chunk] = n
             total += n
     return total
