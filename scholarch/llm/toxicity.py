@@ -72,26 +72,26 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, strength: float = 0.0008, fairness: float = 4.0, steps: int = 400) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, strength: float = 0.0003, fairness: float = 4.0, steps: int = 500) -> np.ndarray:
     """Lasso logistic weights, intercept last, with the penalty `fairness` * mean (pairs @ w)^2 / 2."""
     n, f = x.shape
     w, v, t = np.zeros(f + 1), np.zeros(f + 1), 1.0
     prior = (y.sum() + 1) / (n + 2)
     w[-1] = v[-1] = np.log(prior / (1 - prior))
 
+    def times(m: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (m @ at.astype(np.float32)).astype(np.float64)  # a double vector would copy the matrix each time
+
+    def penalty(at: np.ndarray) -> np.ndarray:
+        return fairness * times(pairs.T, times(pairs, at)) / len(pairs) if len(pairs) else np.zeros(f)
+
     def gradient(at: np.ndarray) -> np.ndarray:
-        r = (1 / (1 + np.exp(-np.clip(x @ at[:-1] + at[-1], -30, 30))) - y) / n
-        g = np.append(x.T @ r, r.sum())
-        if len(pairs):
-            g[:-1] += fairness * (pairs.T @ (pairs @ at[:-1])) / len(pairs)
-        return g
+        r = (1 / (1 + np.exp(-np.clip(times(x, at[:-1]) + at[-1], -30, 30))) - y) / n
+        return np.append(times(x.T, r) + penalty(at[:-1]), r.sum())
 
     def curvature(u: np.ndarray) -> np.ndarray:
-        z = (x @ u[:-1] + u[-1]) / (4 * n)
-        out = np.append(x.T @ z, z.sum())
-        if len(pairs):
-            out[:-1] += fairness * (pairs.T @ (pairs @ u[:-1])) / len(pairs)
-        return out
+        z = (times(x, u[:-1]) + u[-1]) / (4 * n)
+        return np.append(times(x.T, z) + penalty(u[:-1]), z.sum())
 
     u = np.ones(f + 1)
     size = 1.0
