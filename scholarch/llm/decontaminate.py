@@ -147,7 +147,8 @@ def _by_join(docs: DataFrame, items: DataFrame, n: int, text_col: str) -> DataFr
             for item, text in zip(column(batch, "item").to_pylist(), column(batch, "words").to_pylist(), strict=True):
                 words = text.split()
                 grams = [b" ".join(words[i : i + size]) for i, size in windows(words, n)]
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.binary()), "item": pa.array([str(item)] * len(grams), pa.string())})
+                hashes = pa.array([xxhash.xxh3_128_digest(g) for g in grams], pa.binary())
+                yield pa.RecordBatch.from_pydict({"h": hashes, "gram": pa.array(grams, pa.binary()), "item": pa.array([str(item)] * len(grams), pa.string())})
 
     def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, "_text", 100_000):
@@ -162,11 +163,10 @@ def _by_join(docs: DataFrame, items: DataFrame, n: int, text_col: str) -> DataFr
                         out[3].append(xxhash.xxh3_128_digest(b" ".join(words[i : i + size])))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["_row", "first", "size", "h"])
 
-    digest = F.udf(lambda g: xxhash.xxh3_128_digest(bytes(g)), "binary")
-    grams = items.select("item", "words").mapInArrow(item_windows, "gram binary, item string").distinct().withColumn("h", digest("gram"))
+    grams = items.select("item", "words").mapInArrow(item_windows, "h binary, gram binary, item string")
     spots = rows.select("_row", rows[text_col].alias("_text")).mapInArrow(doc_windows, "_row long, first int, size int, h binary")
-    per_gram = grams.groupBy("h").agg(F.collect_set("item").alias("items"))
-    found = spots.join(per_gram, "h").groupBy("_row").agg(F.collect_list(F.struct("first", "size", "items")).alias("_found"))
+    per_gram = grams.groupBy("h", "gram").agg(F.collect_set("item").alias("items"))
+    found = spots.join(per_gram, "h").groupBy("_row").agg(F.collect_list(F.struct("first", "size", "gram", "items")).alias("_found"))
     return rows.join(found, "_row", "left").drop("_row")
 
 
@@ -178,8 +178,12 @@ def _matched(docs: DataFrame, benchmark: DataFrame, n: int, max_words: int, text
 
         def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, texts in text_slices(batches, text_col):
-                spots = [[(s["first"], s["size"], s["items"]) for s in f or []] for f in column(batch, "_found").to_pylist()]
-                yield finish(batch, texts, [(words_of(t), s) for t, s in zip(texts, spots, strict=True)])
+                found = []
+                for text, spots in zip(texts, column(batch, "_found").to_pylist(), strict=True):
+                    words = words_of(text)
+                    same = [s for s in spots or [] if b" ".join(words[s["first"] : s["first"] + s["size"]]) == s["gram"]]
+                    found.append((words, [(s["first"], s["size"], s["items"]) for s in same]))
+                yield finish(batch, texts, found)
 
         return _by_join(docs, items, n, text_col).mapInArrow(run_joined, schema)
 
