@@ -58,7 +58,7 @@ def stream_ingest_runs(a):
     "SELECT 'batch_' || (conv_id % 20)::VARCHAR AS batch_id, count(*) FILTER (role <> 'system') AS processed_pages, count(*) FILTER (role = 'system') AS failed_pages, count(*) AS total_pages FROM conversations GROUP BY 1",
 )
 def stream_progress(a):
-    rows = _drain(a, "conversations", lambda s: J.page_progress(_conversation_pages(s), "batch_id"), mode="complete")
+    rows = _drain(a, "conversations", lambda s: J.page_progress(_conversation_pages(s), "batch_id"), mode="update")
     last = rows.groupBy("batch_id").agg(F.max_by(F.struct("processed_pages", "failed_pages", "total_pages"), "_epoch").alias("r"))
     return last.select("batch_id", "r.*")
 
@@ -90,11 +90,13 @@ def stream_stale_timeout(a):
 
 @register(
     "stream_search_analytics",
-    "SELECT type_recherche, d AS search_date, count(*) AS total_searches, avg(resultats_trouves) AS avg_results, sum(correction_utilisateur)::BIGINT AS corrections FROM (SELECT *, date_recherche::DATE AS d, max(date_recherche) OVER () - INTERVAL 1 DAY AS mark FROM recherche_log) WHERE d + INTERVAL 1 DAY <= mark GROUP BY ALL",
+    "SELECT type_recherche, d AS search_date, count(*) AS total_searches, avg(resultats_trouves) AS avg_results, sum(correction_utilisateur)::BIGINT AS corrections FROM (SELECT *, date_recherche::DATE AS d FROM recherche_log) GROUP BY ALL",
 )
 def stream_search_analytics(a):
-    """Closed days only: the last ones stay open until the watermark passes them."""
-    return _drain(a, "events", lambda s: J.search_analytics_stream(s.recherche_log()))
+    """Every day: an open one counts with its last update, a closed one does not change again."""
+    rows = _drain(a, "events", lambda s: J.search_analytics_stream(s.recherche_log()), mode="update")
+    last = rows.groupBy("type_recherche", "search_date").agg(F.max_by(F.struct("total_searches", "avg_results", "corrections"), "_epoch").alias("r"))
+    return last.select("type_recherche", "search_date", "r.*")
 
 
 @register(

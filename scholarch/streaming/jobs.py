@@ -62,7 +62,7 @@ def page_progress(pages: DataFrame, key: str) -> DataFrame:
 
 
 def search_analytics_stream(log: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Daily search metrics per type; days close when the watermark passes (append)."""
+    """Daily search metrics per type; state of a day goes when the watermark passes it (update or append)."""
     corrected = F.sum(F.when(F.col("correction_utilisateur") != 0, 1).otherwise(0))
     return (
         log.withColumn("date_recherche", F.col("date_recherche").cast("timestamp"))
