@@ -10,9 +10,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
-import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +23,7 @@ from pyspark.sql import types as T
 from scholarch.llm import lexicon
 from scholarch.llm.bpe import MEMO_ENTRIES, WORD_MEMO_ENTRIES, Vocabulary, chunks, vocabulary
 from scholarch.llm.common import column, text_slices
-from scholarch.session import materialize
+from scholarch.session import materialize, new_location
 
 # a task hands on its word counts when it holds this many different chunks
 FLUSH_ENTRIES = 300_000
@@ -94,12 +91,16 @@ def compile_lexicon(docs: DataFrame, vocab_path: str, lexicon_words: int, text_c
     counts = materialize(word_frequencies(docs, vocab_path, text_col), "word-counts")
     vocab = vocabulary(vocab_path)
     data = lexicon.build({w: vocab.word_ids(w) for w in frequent_words(counts, lexicon_words) if w})
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)  # the driver's own copy, which Spark serves
-    with open(path, "wb") as handle:
-        handle.write(data)
-    spark.sparkContext.addFile(path)
-    return name
+    # written to the shared folder by Hadoop's file system, whatever store that is; executors fetch it from there
+    target = spark._jvm.org.apache.hadoop.fs.Path(new_location(spark, "lexicon"))
+    store = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = store.create(target)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(store.makeQualified(target).toString())
+    return target.getName()
 
 
 def encode_word(vocab: Vocabulary, words: lexicon.Lexicon, word: str) -> bytes:
