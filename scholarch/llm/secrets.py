@@ -19,14 +19,23 @@ MASK = "[REDACTED]"
 FINDINGS = 6000  # built-in labelled findings
 # Names under which secrets are assigned.
 _NAMES = r"(?i:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passw(?:or)?d|pwd|credential|bearer)"
-# An assigned value, any long unbroken run, or the head of a key file with its body.
+_VALUE = "[A-Za-z0-9_+/=.~!@#$%^&*-]"
+# A name may stand inside a longer one (GITHUB_TOKEN, secret_key_base); 'password is' needs a digit in what follows.
+_ASSIGNED = (
+    r"(?:(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]{0,64}?)?" + _NAMES + r"""[A-Za-z0-9_.-]{0,64}(?:["']?\s{0,3}(?:=>|:=|[:=])\s{0,3}["']?|\s{1,3}(?i:is|was)\s{1,3}["']?(?=[^\s]{0,40}[0-9]))"""
+)
+_URL = r"://[^\s/:@\"']{0,64}:"
+_BEARER = r"(?i:\bbearer)\s{1,3}(?=[^\s]{0,40}[0-9])"
+# A key file with its body (to its end, or over base64 lines), a value after a name, a password in a URL, a bearer value, or a long unbroken run.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?"
-    r"|" + _NAMES + r"""["']?\s{0,3}(?:[:=]|=>)\s{0,3}["']?[A-Za-z0-9_+/=.~!@#$%^&*-]{8,}+"""
-    r"|(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+"
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{0,20000}+-----END [A-Z ]{0,24}PRIVATE KEY-----|(?:(?:\s|\\[rn]){0,6}[A-Za-z0-9+/=]{40,}+){0,200}+)"
+    r"|" + _ASSIGNED + _VALUE + r"{8,}+"
+    r"|" + _URL + r"[^\s/@\"']{3,128}+(?=@)"
+    r"|" + _BEARER + r"[A-Za-z0-9_+/=.~-]{8,}+"
+    r"|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}"
 )
 # What of a candidate comes before its value.
-_LEAD = r"\A" + _NAMES + r"""["']?\s{0,3}(?:[:=]|=>)\s{0,3}["']?"""
+_LEAD = r"\A(?:" + _ASSIGNED + "(?=" + _VALUE + "{8})|" + _URL + "|" + _BEARER + ")"
 # Words and syllables of identifiers, placeholders and prose, for dictionary coverage.
 DICTIONARY = (
     "the and ing ion ent ter for tha ere ate his con res ver all ons nce men ith ted ers pro thi wit are ess not ive was ect rea com eve per int est sta cti ica ist ear ain one our iti rat "
@@ -58,6 +67,7 @@ FEATURES = {
     "hash_word": "CASE WHEN {b} RLIKE '(?i)(commit|sha-?[0-9]*|md5|hash|checksum|digest|revision|uuid|guid|etag|version|build)[^a-z0-9]{{0,12}}$' THEN 2 WHEN {b} RLIKE '(?i)(commit|sha-?[0-9]+|md5|hash|checksum|digest|revision|uuid)' THEN 1 ELSE 0 END",
     "assigned": "CASE WHEN {b} RLIKE '[:=]\\\\s{{0,3}}[\\'\\\"]?$' THEN 1 ELSE 0 END",
     "quoted": "CASE WHEN {b} RLIKE '[\\'\\\"]$' AND {a} RLIKE '^[\\'\\\"]' THEN 1 ELSE 0 END",
+    "in_url": "CASE WHEN {b} RLIKE '://[^ /:@]*:$' AND {a} RLIKE '^@' THEN 1 ELSE 0 END",
     "called": "CASE WHEN {a} RLIKE '^[(\\\\[.]' THEN 1 ELSE 0 END",
 }
 
@@ -73,7 +83,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     commit and file digests, identifiers, placeholders, long words, rulers, calls and test data.
     """
     rows = spark.range(0, n, 1, 4).selectExpr(
-        "id % 20 AS kind",
+        "id % 26 AS kind",
         "sha1(CAST(id AS STRING)) AS h40",
         "sha2(CAST(id AS STRING), 256) AS h64",
         "md5(CAST(id AS STRING)) AS h32",
@@ -111,6 +121,12 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         ("CASE WHEN r < 20 THEN h40 ELSE substr(b62, 1, 40) END", given, quote, "test_path", 0),
         ("concat(wordy, 'ing')", "concat(word, ' ', prose, ': ')", "' '", "plain_path", 0),
         ("concat(conv(substr(h40, 1, 12), 16, 10), conv(substr(h40, 13, 12), 16, 10))", "concat(prose, ' version ')", "' '", "plain_path", 0),
+        ("substr(b62, 1, 8 + r % 12)", "concat(prose, CASE WHEN r % 2 = 0 THEN ' postgres://admin:' ELSE ' https://user:' END)", "'@db.host/x'", "plain_path", 1),
+        ("concat(substr(b62, 1, 6 + r % 8), r)", "concat(prose, CASE WHEN r % 2 = 0 THEN ' password is ' ELSE ' the token was ' END)", "' '", "plain_path", 1),
+        ("concat(substr(b62, 1, 8 + r % 12), r)", "concat(prose, CASE WHEN r % 2 = 0 THEN ' Authorization: Bearer ' ELSE ' Bearer ' END)", "' '", "plain_path", 1),
+        ("CASE WHEN r % 3 = 0 THEN concat('ghp_', substr(b62, 1, 36)) WHEN r % 3 = 1 THEN substr(b62, 1, 10 + r) ELSE concat(wordy, r, substr(b62, 1, 4)) END", "concat(prose, ' export ', element_at(split('DB_,GITHUB_,AWS_,MY_APP_', ','), 1 + r % 4), upper(replace(word, ' ', '_')), CASE WHEN r % 2 = 0 THEN '=' ELSE ' = \"' END)", "CASE WHEN r % 2 = 0 THEN ' ' ELSE '\" ' END", "plain_path", 1),
+        ("element_at(split('password,changeme,your_password,placeholder,example,secret_here', ','), 1 + r % 6)", "concat(prose, ' postgres://user:')", "'@localhost/x'", "plain_path", 0),
+        ("concat(snake, '_', r % 3)", "concat(prose, CASE WHEN r % 2 = 0 THEN ' Bearer ' ELSE ' token is ' END)", "' '", "plain_path", 0),
     ]
 
     def pick(i: int) -> str:
@@ -160,6 +176,8 @@ def _judged(docs: DataFrame, forest: list[str], path_col: str | None, text_col:
     cut = docs.withColumn("_any", text.rlike(CANDIDATE)).withColumn("_path", path)
     cut = cut.withColumn("_pieces", F.when(F.col("_any"), F.split(text, CANDIDATE, -1)).otherwise(F.array(text)))
     cut = cut.withColumn("_whole", F.when(F.col("_any"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    # pieces and candidates in turn; a candidate has 8 characters or nearly so, so a few neighbours fill the context
+    cut = cut.withColumn("_all", F.flatten(F.zip_with("_pieces", F.concat("_whole", F.array(F.lit(""))), lambda p, w: F.array(p, w))))
     lead = "regexp_extract(w, r'" + _LEAD.replace("'", "\\x27") + "', 0)"
     raw = cut.withColumn(
         "_found",
@@ -167,8 +185,8 @@ def _judged(docs: DataFrame, forest: list[str], path_col: str | None, text_col:
             f"""transform(_whole, (w, i) -> named_struct(
                 'lead', {lead},
                 'value', substr(w, 1 + length({lead})),
-                'before', concat(substr(_pieces[i], greatest(1, length(_pieces[i]) - {AROUND - 1})), {lead}),
-                'after', left(_pieces[i + 1], {AROUND}),
+                'before', concat(right(array_join(transform(slice(_all, greatest(1, 2 * i - 11), least(2 * i + 1, 13)), x -> right(x, {AROUND})), ''), {AROUND}), {lead}),
+                'after', left(array_join(transform(slice(_all, 2 * i + 3, 13), x -> left(x, {AROUND})), ''), {AROUND}),
                 'gap', length(_pieces[i])))"""
         ),
     )
@@ -176,7 +194,7 @@ def _judged(docs: DataFrame, forest: list[str], path_col: str | None, text_col:
     votes = " + ".join(f"({tree})" for tree in forest)
     raw = raw.withColumn("_seen", F.expr(f"transform(_found, c -> named_struct('c', c, 'f', named_struct({features})))"))
     scored = f"transform(transform(_seen, s -> named_struct('c', s.c, 'score', transform(array(s.f), f -> CAST(({votes}) / {len(forest)} AS DOUBLE))[0])), s -> named_struct('lead', s.c.lead, 'value', s.c.value, 'gap', s.c.gap, 'score', s.score))"
-    return raw.withColumn("_found", F.expr(scored)).drop("_seen", "_whole", "_any", "_path")
+    return raw.withColumn("_found", F.expr(scored)).drop("_seen", "_whole", "_all", "_any", "_path")
 
 
 def scan(docs: DataFrame, forest: list[str], threshold: float = THRESHOLD, path_col: str | None = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +222,7 @@ def redact(docs: DataFrame, forest: list[str], threshold: float = THRESHOLD, pat
     """The rows and columns of `docs` with each secret's value replaced by `mask`.
 
     Texts without a secret stay as they are, nulls included.  Column names that start with an
-    underscore are left to the caller except _pieces, _found, _seen, _whole, _any and _path.
+    underscore are left to the caller except _pieces, _found, _seen, _whole, _all, _any and _path.
     """
     judged = _judged(docs, forest, path_col, text_col)
     kept: Column = F.expr(f"transform(_found, s -> concat(s.lead, CASE WHEN s.score >= {threshold}D THEN '{mask}' ELSE s.value END))")
