@@ -23,7 +23,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for all nodes of `links` (u, v: long); component is the smallest node.
 
     Each round writes its links to the shared folder, so lineage stays short and lost executors
@@ -32,10 +32,9 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """
     now = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     seen = None
-    for _ in range(rounds):
+    while True:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen or mark[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
         seen = mark
         now = materialize(_small_star(_large_star(now)), "links")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

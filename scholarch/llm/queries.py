@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scholarch.llm import bpe_codec, decontaminate, neighbours, preferences, quality, secrets, simhash, token_counts, toxicity, url_rules
+from scholarch.llm import bpe_codec, decontaminate, neighbours, preferences, quality, secrets, simhash, token_counts, toxicity, url_rules, vector_links, whitening
 from scholarch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +180,15 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_bpe_codec")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_codec.encode(table(spark, folder, "documents"), vocabulary_path(), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """`deviation` is a long here: null where the exact number does not fit."""
+    rows = whitening.whiten(table(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+@query("op12_vector_links")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_links.near_duplicates(table(spark, folder, "embeddings"))
