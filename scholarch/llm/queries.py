@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarch.llm import bpe_codec, decontaminate, neighbours, preferences, quality, secrets, simhash, token_counts, toxicity, url_rules, vector_links, whitening
+from scholarch.llm import bpe_codec, decontaminate, neighbours, periodic_runs, preferences, quality, secrets, simhash, token_counts, toxicity, url_rules, vector_links, whitening
 from scholarch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_vector_links")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return vector_links.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periodic_runs.with_planted_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return periodic_runs.report(periodic_runs.collapse(docs))
