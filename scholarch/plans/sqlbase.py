@@ -197,6 +197,20 @@ CTES: dict[str, str] = {
   SELECT l_orderkey * 2 + l_linenumber % 2 AS inscriptionPer_id, l_partkey AS module_id, round(l_quantity * 0.4, 2) AS moy,
          CASE WHEN l_returnflag <> 'A' THEN round(l_discount * 250, 2) END AS note_cc, round(l_tax * 200, 2) AS note_exam
   FROM lineitem""",
+    "grade_sheet": """
+  SELECT o_orderkey AS sheet_id, CASE WHEN o_orderkey % 10 <> 4 THEN (74 + o_custkey % 11)::VARCHAR || '/' || lpad(o_custkey::VARCHAR, 9, '0') END AS matricule, e.nom, e.prenom,
+         CASE WHEN o_orderkey % 41 = 0 THEN 'AUTRE' WHEN o_orderkey % 2 = 0 THEN ' ' || lower(n_name) ELSE n_name END AS programme,
+         (year(o_orderdate) + shift)::VARCHAR || CASE WHEN o_orderkey % 3 = 0 THEN ' / ' ELSE '-' END || (year(o_orderdate) + 1 + shift)::VARCHAR AS annee,
+         CASE WHEN o_orderkey % 37 <> 0 THEN lower(c_mktsegment) END AS groupe,
+         CASE WHEN o_orderkey % 9 <> 0 THEN floor(o_totalprice % 2100) / 100 END AS moy, (o_orderkey % 40 + 1)::INTEGER AS rang,
+         CASE o_orderstatus WHEN 'O' THEN 'Admis' WHEN 'F' THEN 'Eliminé' ELSE 'Passage conditionnel' END AS decisionJury, o_orderdate AS dated
+  FROM (SELECT *, CASE WHEN o_orderkey % 43 = 0 THEN 20 ELSE 0 END AS shift FROM orders) JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey LEFT JOIN etudiant e ON e.id = o_custkey""",
+    "grade_cell": """
+  SELECT sheet_id, pos, CASE WHEN l_partkey % 47 = 0 THEN 'S3' ELSE 's' || (l_linenumber % 2 + 1)::VARCHAR END AS periode, lower(m.code) AS code,
+         CASE WHEN l_partkey % 53 = 0 THEN 'uncertain' ELSE replace(round(l_quantity * 0.42, 2)::DECIMAL(6,2)::VARCHAR, '.', ',') END AS note, dated
+  FROM (SELECT l_orderkey AS sheet_id, l_linenumber::INTEGER AS pos, l_partkey, l_linenumber, l_quantity, o_orderdate AS dated,
+               CASE WHEN l_partkey % 19 = 0 THEN l_partkey ELSE l_partkey - l_partkey % 50 + c_nationkey * 2 + l_linenumber % 2 END AS part
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey) LEFT JOIN matiere m ON m.id = part""",
     "pending_case": """
   SELECT id AS case_id, CASE WHEN id % 10 <> 9 THEN 'pending' ELSE 'resolved' END AS status,
          CASE WHEN id % 3 = 2 THEN nom || 'zzq' ELSE translate(nom, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END AS nom, prenom,

@@ -238,6 +238,60 @@ class Archive:
             F.round(F.col("l_tax") * 200, 2).alias("note_exam"),
         )
 
+    # --- grade sheets to load ---------------------------------------------------------
+    def grade_sheet(self) -> DataFrame:
+        """One sheet per order: the customer as student (by number, some by name), nation, year and segment as written."""
+        k = F.col("o_orderkey")
+        names = self.etudiant().select(F.col("id").alias("o_custkey"), "nom", "prenom")
+        year = F.year("o_orderdate")
+        nations = self.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+        return (
+            self.table("orders")
+            .join(self.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment"), "o_custkey")
+            .join(nations, "c_nationkey")
+            .join(names, "o_custkey", "left")
+            .select(
+                k.alias("sheet_id"),
+                F.when(k % 10 != 4, F.concat((74 + F.col("o_custkey") % 11).cast("string"), F.lit("/"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).alias("matricule"),
+                "nom",
+                "prenom",
+                F.when(k % 41 == 0, F.lit("AUTRE")).when(k % 2 == 0, F.concat(F.lit(" "), F.lower("n_name"))).otherwise(F.col("n_name")).alias("programme"),
+                F.concat((year + F.when(k % 43 == 0, 20).otherwise(0)).cast("string"), F.when(k % 3 == 0, " / ").otherwise("-"), (year + 1 + F.when(k % 43 == 0, 20).otherwise(0)).cast("string")).alias("annee"),
+                F.when(k % 37 == 0, F.lit(None)).otherwise(F.lower("c_mktsegment")).alias("groupe"),
+                F.when(k % 9 != 0, F.floor(F.col("o_totalprice") % 2100) / 100).alias("moy"),
+                (k % 40 + 1).cast("int").alias("rang"),
+                F.when(F.col("o_orderstatus") == "O", "Admis").when(F.col("o_orderstatus") == "F", "Eliminé").otherwise("Passage conditionnel").alias("decisionJury"),
+                F.col("o_orderdate").alias("dated"),
+            )
+        )
+
+    def grade_cell(self) -> DataFrame:
+        """One note per order line; most name a subject that the programme teaches in that period."""
+        places = (
+            self.table("orders")
+            .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .select(F.col("o_orderkey").alias("l_orderkey"), (F.col("c_nationkey") * 2).cast("long").alias("_first"), F.col("o_orderdate").alias("dated"))
+        )
+        line = F.col("l_linenumber")
+        near = F.col("l_partkey") - F.col("l_partkey") % 50 + F.col("_first") + line % 2
+        parts = self.matiere().select(F.col("id").alias("_part"), "code")
+        note = F.round(F.col("l_quantity") * 0.42, 2).cast("decimal(6,2)").cast("string")
+        return (
+            self.table("lineitem")
+            .select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+            .join(places, "l_orderkey")
+            .withColumn("_part", F.when(F.col("l_partkey") % 19 == 0, F.col("l_partkey")).otherwise(near))
+            .join(parts, "_part", "left")
+            .select(
+                F.col("l_orderkey").alias("sheet_id"),
+                line.cast("int").alias("pos"),
+                F.when(F.col("l_partkey") % 47 == 0, "S3").otherwise(F.concat(F.lit("s"), (line % 2 + 1).cast("string"))).alias("periode"),
+                F.lower("code").alias("code"),
+                F.when(F.col("l_partkey") % 53 == 0, "uncertain").otherwise(F.replace(note, F.lit("."), F.lit(","))).alias("note"),
+                "dated",
+            )
+        )
+
     def relational(self) -> dict[str, DataFrame]:
         return {
             "annee_universitaire": self.annee_universitaire(),
