@@ -6,6 +6,7 @@ a cluster; `run_available` drains what is there (availableNow) for back-fills an
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,19 +23,27 @@ from scholarch.session import new_location
 STALE_SECONDS = 43_200
 STALE_STAGE_EXEMPT = "timeout_waiting"
 CANCELLED = ("cancelled", "canceled")
+KEEP_SECONDS = 604_800  # how long a cancellation, or a wait on a timeout, is remembered
 
 
-def read_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Extraction runs as they appear in a folder, one JSON document per file."""
-    return spark.readStream.schema(RUN).option("multiLine", True).option("mode", "DROPMALFORMED").json(folder)
+def read_runs(spark: SparkSession, folder: str, files_at_once: int | None = None) -> DataFrame:
+    """Extraction runs as they appear below a folder: files of one JSON document or an array of them, over any lines.
+
+    A file that is not JSON is passed over; `files_at_once` bounds a micro-batch.
+    """
+    reader = spark.readStream.schema(RUN).option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True)
+    return (reader if files_at_once is None else reader.option("maxFilesPerTrigger", files_at_once)).json(folder)
 
 
 def read_table_stream(spark: SparkSession, folder: str, table: str, schema: StructType) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
-def run_available(stream: DataFrame, output: str, checkpoint: str, mode: str = "append") -> None:
-    """Drain the available input into Parquet; the checkpoint makes reruns exactly-once."""
+def run_available(stream: DataFrame, output: str, checkpoint: str, mode: str = "append") -> list:
+    """Drain the available input into Parquet; the checkpoint makes reruns exactly-once.
+
+    Returns the progress reports of the micro-batches.
+    """
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", output)
     else:
@@ -43,7 +52,25 @@ def run_available(stream: DataFrame, output: str, checkpoint: str, mode: str = "
             batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{output}/epoch={epoch}")
 
         query = stream.writeStream.foreachBatch(write)
-    query.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    running = query.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return running.recentProgress
+
+
+def run_some(stream: DataFrame, output: str, checkpoint: str, batches: int, wait_seconds: float = 120.0) -> int:
+    """Run a stream into Parquet and stop it after `batches` micro-batches at least, in the middle of its input.
+
+    A later run with the same checkpoint goes on from there.  Returns the number of the last batch
+    known to be done; -1 if none was within the wait.
+    """
+    running = stream.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    end = time.monotonic() + wait_seconds
+    done = -1
+    while done + 1 < batches and time.monotonic() < end and running.isActive:
+        time.sleep(0.05)
+        done = max([done, *(p["batchId"] for p in running.recentProgress if p["numInputRows"] > 0)])
+    running.stop()
+    return done
 
 
 def ingest_runs(runs: DataFrame) -> DataFrame:
@@ -98,67 +125,126 @@ OPERATION = StructType(
 _STATE = StructType(OPERATION.fields[1:])
 
 
-class OperationState(StatefulProcessor):
-    """Last write wins per operation; a cancelled operation ignores everything later.
+class OperationTracker(StatefulProcessor):
+    """Last write wins per operation; a cancelled operation ignores what follows for `keep_seconds`.
+
+    A processing operation (unless waiting on a timeout) without an update for `stale_seconds` of
+    event time is emitted once as failed/stale, as of the moment its time ran out: by a timer when
+    the watermark passes that moment, or before the next update where both come in one micro-batch.
 
-    A processing operation (unless waiting on a timeout) that gets no update for the stale
-    limit of event time is emitted once as failed/stale.
+    The store holds open operations and recent cancellations only.  Completed, failed and stale
+    operations leave it at once, since any later update would replace them anyway; a cancellation
+    and an operation waiting on a timeout leave after `keep_seconds` by a timer, without a row.
     """
 
-    def __init__(self, stale_seconds: int = STALE_SECONDS):
-        self.stale_ms = stale_seconds * 1000
+    def __init__(self, stale_seconds: int = STALE_SECONDS, keep_seconds: int = KEEP_SECONDS, every: bool = False):
+        self.every = every  # emit each event that is heard, not the last one of a micro-batch only
+        self.stale = pd.Timedelta(seconds=stale_seconds)
+        self.keep = pd.Timedelta(seconds=keep_seconds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("operation", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [f.name for f in _STATE.fields]
-        held = dict(zip(names, self.state.get())) if self.state.exists() else None
-        for frame in rows:
-            if held is not None and held["status"] in CANCELLED:
-                continue
-            ordered = frame.sort_values(["updated_at", "event_id"], kind="stable")
-            stop = ordered["status"].isin(CANCELLED).to_numpy().nonzero()[0]
-            last = ordered.iloc[stop[0] if len(stop) else -1]
-            if held is None or (last["updated_at"], last["event_id"]) >= (pd.Timestamp(held["updated_at"]), held["event_id"]) or len(stop):
-                held = {n: last[n] for n in names}
-        if held is None:
-            return
-        row = [held[n] if n in ("status", "stage") else (pd.Timestamp(held[n]).to_pydatetime() if n == "updated_at" else int(held[n])) for n in names]
-        self.state.update(tuple(row))
+    def _held(self) -> dict | None:
+        if not self.state.exists():
+            return None
+        held = dict(zip(_STATE.names, self.state.get(), strict=True))
+        held["updated_at"] = pd.Timestamp(held["updated_at"])
+        return held
+
+    def _expires(self, held: dict) -> bool:
+        """Whether silence ends this operation."""
+        return held["status"] not in TERMINAL_STATUSES and held["stage"] != STALE_STAGE_EXEMPT
+
+    def _closed(self, held: dict) -> dict:
+        return {**held, "status": "failed", "stage": "stale", "updated_at": held["updated_at"] + self.stale}
+
+    def _hold(self, held: dict) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if held["status"] == "processing" and held["stage"] != STALE_STAGE_EXEMPT:
-            self.handle.registerTimer(int(pd.Timestamp(held["updated_at"]).timestamp() * 1000) + self.stale_ms)
-        yield pd.DataFrame([[key[0], *row]], columns=[f.name for f in OPERATION.fields])
+        if held["status"] in TERMINAL_STATUSES and held["status"] not in CANCELLED:
+            if self.state.exists():
+                self.state.clear()
+            return
+        plain = {n: held[n] if n in ("status", "stage") else held[n].to_pydatetime() if n == "updated_at" else int(held[n]) for n in _STATE.names}
+        self.state.update(tuple(plain[n] for n in _STATE.names))
+        end = held["updated_at"] + (self.stale if self._expires(held) else self.keep)
+        self.handle.registerTimer(int(end.timestamp() * 1000))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        last = initialState.sort_values(["updated_at", "event_id"], kind="stable").iloc[-1]
+        self._hold({n: last[n] for n in _STATE.names})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, out, changed = self._held(), [], False
+        events = pd.concat(list(rows)).sort_values(["updated_at", "event_id"], kind="stable")
+        for event in events[_STATE.names].to_dict("records"):
+            if held is not None:
+                if (event["updated_at"], event["event_id"]) <= (held["updated_at"], held["event_id"]):
+                    continue
+                if held["status"] in CANCELLED and event["updated_at"] <= held["updated_at"] + self.keep:
+                    continue
+                if self._expires(held) and event["updated_at"] >= held["updated_at"] + self.stale:
+                    out.append(self._closed(held))
+            held, changed = event, True
+            if self.every:
+                out.append(held)
+        if changed:
+            if not self.every:
+                out.append(held)
+            self._hold(held)
+        if out:
+            yield pd.DataFrame([[key[0], *(o[n] for n in _STATE.names)] for o in out], columns=OPERATION.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        names = [f.name for f in _STATE.fields]
-        held = dict(zip(names, self.state.get()))
-        held.update(status="failed", stage="stale")
-        self.state.update(tuple(held[n] for n in names))
-        yield pd.DataFrame([[key[0], *[held[n] for n in names]]], columns=[f.name for f in OPERATION.fields])
+        held = self._held()
+        if held is None:
+            return
+        self.state.clear()
+        if self._expires(held):
+            closed = self._closed(held)
+            yield pd.DataFrame([[key[0], *(closed[n] for n in _STATE.names)]], columns=OPERATION.names)
 
     def close(self) -> None:
         pass
 
 
-def operation_state_stream(events: DataFrame, stale_seconds: int = STALE_SECONDS, lateness: str = "1 minute") -> DataFrame:
-    """Keyed operation state with event-time staleness (update mode).
+def operation_state_stream(
+    events: DataFrame, stale_seconds: int = STALE_SECONDS, lateness: str = "1 minute", keep_seconds: int = KEEP_SECONDS, initial: DataFrame | None = None, every: bool = False
+) -> DataFrame:
+    """Keyed operation state with event-time staleness (update mode); rows as they are written or run out.
 
-    A key sees its events in micro-batches; the processor keeps one row per key.
+    `initial` (columns of OPERATION, one row per operation) is the state to start from, e.g. a
+    standing table; it is read once, when the checkpoint is new.  With `every`, all updates that an
+    operation heard come out, not only the last one of a micro-batch.
     """
+    start = None if initial is None else initial.select(*OPERATION.names).withColumn("updated_at", F.col("updated_at").cast("timestamp")).groupBy("operation_id")
     return (
         events.withColumn("updated_at", F.col("updated_at").cast("timestamp"))
         .withWatermark("updated_at", lateness)
         .groupBy("operation_id")
         .transformWithStateInPandas(
-            statefulProcessor=OperationState(stale_seconds), outputStructType=OPERATION, outputMode="Update", timeMode="EventTime"
+            statefulProcessor=OperationTracker(stale_seconds, keep_seconds, every), outputStructType=OPERATION, outputMode="Update", timeMode="EventTime", initialState=start
         )
     )
 
 
+def progress_levels(events: DataFrame, lateness: str = "1 minute") -> DataFrame:
+    """Daily page counts per file (operation) and, on top of those, per batch, in one stream (append).
+
+    The counters of a file are running totals, so its day has their highest values; a batch's day adds
+    up its files.  Rows come when the watermark passes the day, and their state ends with them.
+    """
+    timed = events.withColumn("updated_at", F.col("updated_at").cast("timestamp")).withWatermark("updated_at", lateness)
+    pages = ("processed_pages", "failed_pages", "total_pages")
+    files = timed.groupBy(F.window("updated_at", "1 day").alias("w"), "batch_id", "operation_id").agg(*[F.max(c).alias(c) for c in pages])
+    batches = files.groupBy(F.window("w", "1 day").alias("w"), "batch_id").agg(*[F.sum(c).alias(c) for c in pages], F.count("*").alias("files"))
+    day = F.to_date("w.start").alias("day")
+    one = files.select(F.lit("file").alias("level"), day, "batch_id", "operation_id", *pages, F.lit(1).cast("long").alias("files"))
+    return one.unionByName(batches.select(F.lit("batch").alias("level"), day, "batch_id", F.lit(None).cast("long").alias("operation_id"), *pages, "files"))
+
+
 def operation_state(events: DataFrame) -> DataFrame:
     """Batch twin: the first cancellation if any, else the last event; an aggregate with map-side combine."""
     rest = [c for c in events.columns if c != "operation_id"]

@@ -12,7 +12,7 @@ from scholarch.plans import ORACLES, QUERIES
 
 FOLDER = f"/root/testdata/{os.environ.get('SCHOLARCH_SF', 'sf0.001')}"
 # checked by brute force or against their batch form in test_rules.py
-WITHOUT_SQL = {"align_modules", "best_fuzzy_code", "repair_module_names", "stream_operation_state_keyed"}
+WITHOUT_SQL = {"align_modules", "best_fuzzy_code", "repair_module_names"}
 
 
 @pytest.fixture(scope="module")

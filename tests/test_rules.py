@@ -193,3 +193,128 @@ def test_keyed_state_equals_batch_twin(spark):
     stale = keyed.filter("status = 'failed'").select("operation_id")
     assert keyed.count() == twin.count()
     assert keyed.join(stale, "operation_id", "left_anti").exceptAll(twin).count() == 0
+
+
+EVENTS = "operation_id long, event_id long, status string, stage string, total_pages long, processed_pages long, failed_pages long, updated_at timestamp"
+
+
+def _event(op, n, status, when, stage="extracting"):
+    import datetime
+
+    return (op, n, status, stage, 9, n, 0, datetime.datetime.fromisoformat(f"2024-03-{when}"))
+
+
+def test_state_ends_with_the_operations(spark, tmp_path):
+    """Only open operations and recent cancellations stay in the store; an operation of the standing table goes on."""
+    from scholarch.streaming import jobs as J
+
+    initial = spark.createDataFrame([_event(4, 1, "processing", "01 09:00"), _event(5, 1, "cancelled", "01 09:00")], EVENTS)
+    runs = [
+        [_event(1, 1, "processing", "01 10:00"), _event(2, 1, "processing", "01 10:00"), _event(3, 1, "cancelled", "01 10:00"), _event(5, 2, "processing", "01 10:00")],
+        [_event(1, 2, "completed", "01 11:00"), _event(3, 2, "processing", "01 11:00"), _event(6, 1, "processing", "01 12:00", "timeout_waiting")],
+        [_event(7, 1, "processing", "02 08:00")],
+        [_event(7, 2, "processing", "04 08:00"), _event(3, 3, "processing", "04 08:00")],
+    ]
+    session = J.isolated_session(spark)
+    kept = []
+    for rows in runs:
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        events = session.readStream.schema(EVENTS).parquet(f"{tmp_path}/in")
+        progress = J.run_available(J.operation_state_stream(events, keep_seconds=86_400, initial=initial), f"{tmp_path}/out", f"{tmp_path}/at", "update")
+        kept.append(progress[-1]["stateOperators"][0]["numRowsTotal"])
+    out = sorted((r.operation_id, r.event_id, r.status, r.stage, str(r.updated_at)[8:16]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert out == [
+        (1, 1, "processing", "extracting", "01 10:00"),
+        (1, 2, "completed", "extracting", "01 11:00"),
+        (2, 1, "failed", "stale", "01 22:00"),
+        (2, 1, "processing", "extracting", "01 10:00"),
+        (3, 1, "cancelled", "extracting", "01 10:00"),
+        (3, 3, "processing", "extracting", "04 08:00"),
+        (4, 1, "failed", "stale", "01 21:00"),
+        (6, 1, "processing", "timeout_waiting", "01 12:00"),
+        (7, 1, "failed", "stale", "02 20:00"),
+        (7, 1, "processing", "extracting", "02 08:00"),
+        (7, 2, "processing", "extracting", "04 08:00"),
+    ]
+    assert kept == sorted(kept, reverse=True)[:1] + kept[1:] and kept[-1] < kept[0]
+
+
+def test_a_stream_stopped_in_mid_input_goes_on_exactly_once(spark, tmp_path):
+    import json
+
+    from scholarch.streaming import jobs as J
+
+    (tmp_path / "in").mkdir()
+    for n in range(6):
+        runs = [{"file_path": f"{n}-{i}.pdf", "pages": [{"page_number": p, "status": "ok"} for p in (1, 2)]} for i in range(3)]
+        (tmp_path / "in" / f"{n}.json").write_text(json.dumps(runs if n else runs[0], indent=2))
+    (tmp_path / "in" / "broken.json").write_text('[{"file_path": "x", "pages": [')
+    session = J.isolated_session(spark)
+    out, at = f"{tmp_path}/out", f"{tmp_path}/at"
+    done = J.run_some(J.ingest_runs(J.read_runs(session, f"{tmp_path}/in", 1)), out, at, 2)
+    first = spark.read.parquet(out).count()
+    assert done >= 1 and 0 < first < 32
+    J.run_available(J.ingest_runs(J.read_runs(session, f"{tmp_path}/in", 1)), out, at)
+    rows = [(r.file_path, r.page_number) for r in spark.read.parquet(out).collect()]
+    assert len(rows) == len(set(rows)) == 2 * (1 + 5 * 3)
+
+
+def test_table_sets_show_all_tables_of_a_version_or_none(spark, tmp_path):
+    from scholarch.sources.versions import TableSet
+
+    tables = TableSet(spark, str(tmp_path)).create({"a": "x int", "b": "y string"})
+    good = {"a": spark.createDataFrame([(1,)], "x int"), "b": spark.createDataFrame([("u",)], "y string")}
+    broken = spark.range(1).select(F.raise_error(F.lit("lost")).cast("string").alias("y"))
+    with pytest.raises(Exception, match="lost"):
+        tables.commit(0, {"a": good["a"], "b": broken})
+    assert tables.version() == 0 and tables.read("a").count() == 0
+    assert tables.commit(0, good) == 1 and [r.x for r in tables.read("a").collect()] == [1] and [r.y for r in tables.read("b").collect()] == ["u"]
+    with pytest.raises(Exception, match="(?i)exist"):
+        tables.commit(0, good)  # another load has taken this version
+    assert tables.version() == 1 and tables.read("a", 0).count() == 0
+
+
+def test_grades_loaded_again_change_nothing_and_nulls_are_rejected(spark, tmp_path):
+    from scholarch.operators import grade_loading as G
+    from scholarch.sources.versions import TableSet
+
+    frame = spark.createDataFrame
+    ref = {
+        "etudiant": frame([(1, "A", "Omar", "Ali"), (2, "B", "Same", "Name"), (3, "C", "Same", "Name")], "id long, matricule string, nom string, prenom string"),
+        "programme": frame([(7, "INF")], "id long, code string"),
+        "annee_universitaire": frame([(2000, "2000-2001")], "id long, annee string"),
+        "formation": frame([(70, 7, 2000)], "id long, programme_id long, annee_univ_id long"),
+        "groupe": frame([(700, "G1", 70)], "id long, code string, formation_id long"),
+        "periode_programme": frame([(71, "S1", 7)], "id long, libelle string, programme_id long"),
+        "matiere": frame([(5, "MAT"), (6, "PHY")], "id long, code string"),
+        "module": frame([(50, 5, 71)], "id long, matiere_id long, periode_id long"),
+    }
+    schema = "sheet_id long, matricule string, nom string, prenom string, programme string, annee string, groupe string, moy double, rang int, decisionJury string"
+    sheets = frame(
+        [
+            (1, "A", None, None, " inf", "2000/2001", "g1", 12.0, 3, "Admis"),
+            (2, None, "OMAR", "áli", "INF", "2000 / 2001", "G1", 13.0, 2, "Admis"),
+            (3, None, "same", "name", "INF", "2000-2001", "G1", None, None, None),
+            (4, "Z", None, None, "INF", "2000-2001", "G1", None, None, None),
+            (5, "A", None, None, None, "2000-2001", "G1", None, None, None),
+            (6, "A", None, None, "INF", None, "G1", None, None, None),
+            (7, "A", None, None, "INF", "2000-2001", None, None, None, None),
+        ],
+        schema,
+    )
+    cells = frame(
+        [(1, 1, "s1", "mat", "11,5"), (2, 1, "S1", "MAT", "14"), (2, 2, "S1", "PHY", "9"), (2, 3, "S9", "MAT", "9"), (2, 4, "S1", None, "9"), (2, 5, "S1", "MAT", "?"), (2, 6, "S1", "MAT", "21"), (4, 1, "S1", "MAT", "5")],
+        "sheet_id long, pos int, periode string, code string, note string",
+    )
+    tables = TableSet(spark, str(tmp_path)).create(G.STANDING)
+    for version, now in ((1, "t1"), (2, "t2")):
+        assert G.load_grade_tables(sheets, cells, ref, tables, now) == version
+        assert [tuple(r) for r in tables.read("inscription").collect()] == [(1, 1, 70, 700, 13.0, 2, "Admis", "t1")]
+        assert [tuple(r) for r in tables.read("inscription_periode").collect()] == [(1, 1, 71, 700, 14.0, "t1")]
+        assert [tuple(r) for r in tables.read("resultat").collect()] == [(1, 1, 50, 14.0, "t1")]
+    reasons = sorted((r.sheet_id, r.pos or 0, r.reason) for r in tables.read("rejected").collect())
+    assert reasons == [
+        (2, 2, "subject not taught in the period"), (2, 3, "unknown period"), (2, 4, "unknown subject"), (2, 5, "unreadable note"), (2, 6, "note outside 0-20"),
+        (3, 0, "ambiguous name"), (4, 0, "unknown student"), (5, 0, "unknown programme"), (6, 0, "unknown formation"), (7, 0, "unknown group"),
+    ]
+    assert G.load_grade_tables(sheets.limit(0), cells.limit(0), ref, tables, "t3") == 3 and tables.read("resultat").count() == 1
