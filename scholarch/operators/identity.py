@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholarch.functions.labels import parse_birth_date
 from scholarch.functions.text import normalize_ws_lower, safe_token, trim_ws, year_token
+from scholarch.operators.merge import ranks_within
 from scholarch.operators.quality import validate_required_names
 from scholarch.session import materialize
 
-MAX_TRIES = 30
+DIGITS = (5, 10, 15)  # of a number, and of the longer forms that rows beyond it take
 
 
 def _name_key(df: DataFrame, stored: bool) -> DataFrame:
@@ -42,35 +43,66 @@ def find_existing_matricule(rows: DataFrame, students: DataFrame) -> DataFrame:
     return both.withColumn("found", found).drop("found_dated", "nom_k", "prenom_k")
 
 
-def _candidate(row_key: Column, stem: Column, salt: str, attempt: int) -> Column:
-    digest = F.sha2(F.concat_ws("|", F.lit(salt), row_key.cast("string"), F.lit(str(attempt))), 256)
-    if attempt < MAX_TRIES:
-        return F.concat(stem, F.lit("-"), F.upper(F.substring(digest, 1, 5)))
-    return F.concat(F.substring(stem, 1, 6), F.lit("-"), F.upper(F.substring(digest, 1, 10)))
+def _multiplier(digits: int) -> int:
+    """Odd, so that it only permutes the slots of that many hexadecimal digits."""
+    return int("9E3779B97F4A7C15"[:digits], 16) | 1
+
+
+def _shift(stem: Column, digits: int, salt: str) -> Column:
+    """Where the numbers of a stem start, by a salted hash."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(salt), stem), 256), 1, digits), 16, 10).cast("long")
+
+
+def _product(x: Column, by: int, digits: int) -> Column:
+    """x * by modulo 16^digits; whole numbers of up to 30 digits."""
+    whole = x.cast("decimal(19,0)") * F.lit(by).cast("decimal(19,0)")
+    return (whole % F.lit(16**digits).cast("decimal(19,0)")).cast("long")
+
+
+def _allocated(asked: DataFrame, key: str, used: DataFrame, digits: int, salt: str) -> DataFrame:
+    """`asked` (key, stem) with `slot`: the free slot of the stem that the row's rank comes to, null beyond the last.
+
+    A row's rank among the rows of its stem counts free slots.  Taken slot t, the i-th of its stem,
+    has t - i free ones before it, so in the common order of ranks and of t - i (taken ones first) the
+    place of a row is its slot.
+    """
+    space = 16**digits
+    back = pow(_multiplier(digits), -1, space)
+    number = F.regexp_extract("matricule", f"^(.*)-([0-9A-F]{{{digits}}})$", 1)
+    suffix = F.conv(F.regexp_extract("matricule", f"-([0-9A-F]{{{digits}}})$", 1), 16, 10).cast("long")
+    stems = asked.select("stem").distinct()
+    held = used.select(number.alias("stem"), suffix.alias("suffix")).where("stem <> ''").distinct().join(stems, "stem", "left_semi")
+    taken = held.select("stem", _product(F.pmod(F.col("suffix") - _shift(F.col("stem"), digits, salt), F.lit(space)), back, digits).alias("t"))
+    ranked_taken = ranks_within(taken, "stem", ["t"], "i")
+    order = F.sha2(F.concat_ws("|", F.lit(salt), F.col(key).cast("string")), 256)
+    ranked = ranks_within(asked.withColumn("_lot", order), "stem", ["_lot", key], "pos")
+    # a key comes once: `t` tells taken slots with the same number of free ones before them apart
+    rows = ranked.select("stem", "pos", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("t"), F.col(key))
+    busy = ranked_taken.select("stem", (F.col("t") - F.col("i")).alias("pos"), F.lit(0).alias("kind"), "t", F.lit(None).cast(asked.schema[key].dataType).alias(key))
+    placed = ranks_within(rows.union(busy), "stem", ["pos", "kind", "t"], "slot").where("kind = 1")
+    return placed.select(key, "stem", F.when(F.col("slot") < space, F.col("slot")).alias("slot"))
 
 
 def generate_matricules(rows: DataFrame, key: str, stem: Column, taken: DataFrame, salt: str) -> DataFrame:
-    """(key, generated): numbers unique against `taken` and inside the batch.
+    """(key, generated): numbers unique against `taken` and inside the batch; keys must be unique.
 
-    The suffix is a salted hash of the row key, so a retried job gives the same numbers.
-    Only rows that collide go into the next attempt; after 30 the ten-character form is used.
+    A number is its stem and five hexadecimal digits.  The rows of a stem are ranked by a salted hash
+    and take its free slots by rank, at once; slots are scattered over the digits by a permutation, so
+    a retried job gives the same numbers and neighbours do not look alike.  Rows beyond the 16^5 slots
+    of a stem go on to the form of ten digits behind the first six characters, and beyond 16^10 to
+    fifteen.  The work does not depend on how full a stem is.
     """
-    open_rows = rows.select(F.col(key), stem.alias("stem"))
-    used, done = taken.select("matricule"), None
-    for attempt in range(MAX_TRIES + 1):
-        tried = open_rows.withColumn("generated", _candidate(F.col(key), F.col("stem"), salt, attempt))
-        first = F.row_number().over(Window.partitionBy("generated").orderBy(key)) == 1
-        free = tried.withColumn("first", first).join(
-            used.select(F.col("matricule").alias("generated")).distinct().withColumn("busy", F.lit(True)), "generated", "left"
-        )
-        marked = materialize(free.withColumn("ok", F.col("first") & F.col("busy").isNull()), f"numbers-{attempt}")
-        accepted = marked.filter("ok").select(key, "generated")
-        done = accepted if done is None else done.union(accepted)
-        open_rows = marked.filter(~F.col("ok")).select(key, "stem")
-        if open_rows.isEmpty():
-            return done
-        used = used.union(accepted.select(F.col("generated").alias("matricule")))
-    raise RuntimeError("failed to generate unique matricules")
+    asked = materialize(rows.select(F.col(key), stem.alias("stem")), "asked-numbers")
+    done = None
+    for digits in DIGITS:
+        placed = materialize(_allocated(asked, key, taken, digits, salt), "numbers")
+        at = F.pmod(_product(F.col("slot"), _multiplier(digits), digits) + _shift(F.col("stem"), digits, salt), F.lit(16**digits))
+        given = placed.where("slot IS NOT NULL").select(key, F.concat("stem", F.lit("-"), F.lpad(F.hex(at), digits, "0")).alias("generated"))
+        done = given if done is None else done.union(given)
+        asked = placed.where("slot IS NULL").select(key, F.substring("stem", 1, 6).alias("stem"))
+        if asked.isEmpty():
+            break
+    return done
 
 
 def matricule_stem(nom: Column, prenom: Column, annee_univ: Column, temporary: Column, run_year: str) -> Column:

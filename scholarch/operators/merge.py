@@ -26,6 +26,21 @@ def with_dense_ids(rows: DataFrame, order: str, output: str, start: int) -> Data
     return numbered.withColumn(output, (F.lit(start) + F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
 
 
+def ranks_within(rows: DataFrame, group: str, order: list[str], output: str) -> DataFrame:
+    """Rank from 0 of every row inside its group, in the order of columns that tell its rows apart.
+
+    Rows are range partitioned by group and order and written once, so a group that holds a third of
+    all rows is many tasks; what comes before a row in earlier ones is one count per group and task.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    placed = materialize(rows.repartitionByRange(parts, group, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    sizes = placed.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)) - 1
+    return placed.withColumn("_at", inside).join(offsets, [group, "_part"]).withColumn(output, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
+
+
 def _last(column: str, keep: Column | None = None) -> Column:
     given = F.col(column).isNotNull() if keep is None else keep
     return F.max_by(column, F.when(given, F.col("index"))).alias(column)

@@ -360,6 +360,22 @@ def generate_matricule(a):
     return _resolved(a).filter("source like 'generated%'").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("matricule").alias("distinct_numbers"))
 
 
+MULTIPLIER = 0x9E377  # of the permutation over five digits, see identity.py
+
+
+@register(
+    "generate_matricule_numbers",
+    f"""SELECT index, stem || '-' || upper(lpad(to_hex((slot * {MULTIPLIER} + ('0x' || sha256('r1|' || stem)[1:5])::BIGINT) % 1048576), 5, '0')) AS matricule
+        FROM (SELECT index, stem, row_number() OVER (PARTITION BY stem ORDER BY sha256('r1|' || index::VARCHAR)) - 1 AS slot FROM resolved WHERE source LIKE 'generated%')""",
+    known=_KNOWN,
+    good=GOOD,
+    resolved=RESOLVED,
+)
+def generate_matricule_numbers(a):
+    """The numbers themselves; no number of this table's students has the form of a generated one."""
+    return _resolved(a).filter("source like 'generated%'").select("index", "matricule")
+
+
 @register("pending_cases", "SELECT index, nom, prenom, 'pending' AS status FROM masked WHERE source = 'generated_temporary'", **ID)
 def pending_cases(a):
     return I.pending_cases(_resolved(a), NOW).select("index", "nom", "prenom", "status")

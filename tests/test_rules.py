@@ -318,3 +318,29 @@ def test_grades_loaded_again_change_nothing_and_nulls_are_rejected(spark, tmp_pa
         (3, 0, "ambiguous name"), (4, 0, "unknown student"), (5, 0, "unknown programme"), (6, 0, "unknown formation"), (7, 0, "unknown group"),
     ]
     assert G.load_grade_tables(sheets.limit(0), cells.limit(0), ref, tables, "t3") == 3 and tables.read("resultat").count() == 1
+
+
+def test_numbers_of_a_stem_that_overflows(spark):
+    """More rows than five digits hold, some of them taken: all slots are used, the rest takes the longer form."""
+    stem, n = "ETU-78-AAABB", 16**5 + 2000
+    taken = spark.range(3000).select(F.concat(F.lit(f"{stem}-"), F.lpad(F.hex(F.col("id") * 341), 5, "0")).alias("matricule"))
+    odd = spark.createDataFrame([(f"{stem}-0000g",), (f"{stem}-1",), (None,), ("",), ("ETU-78-0123456789",)], "matricule string")
+    rows = spark.range(n).select(F.col("id").alias("index"), F.when(F.col("id") % 200_000 == 7, "TMP-78-AAABB").otherwise(stem).alias("stem"))
+    made = I.generate_matricules(rows, "index", F.col("stem"), taken.union(taken).union(odd), "s").cache()
+    other = rows.where("stem like 'TMP%'").count()
+    assert made.count() == made.select("generated").distinct().count() == made.select("index").distinct().count() == n
+    assert made.join(taken.union(odd), made.generated == taken.matricule).count() == 0
+    short = made.where(F.length("generated") == len(stem) + 6)
+    assert short.where(f"generated like '{stem}-%'").count() == 16**5 - 3000 and short.where("generated like 'TMP%'").count() == other
+    assert made.where("generated rlike '^ETU-78-[0-9A-F]{10}$'").count() == n - other - (16**5 - 3000)
+
+
+def test_ranks_within_groups(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 97).cast("string"))).alias("g"), F.xxhash64("id").alias("x"))
+    from pyspark.sql import Window
+
+    from scholarch.operators.merge import ranks_within
+
+    got = ranks_within(rows, "g", ["x"], "r").select("g", "x", "r")
+    want = rows.withColumn("r", (F.row_number().over(Window.partitionBy("g").orderBy("x")) - 1).cast("long"))
+    assert got.exceptAll(want).count() == 0 and got.count() == 5000
