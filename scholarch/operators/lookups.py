@@ -87,6 +87,17 @@ def document_manifest(uploads: DataFrame) -> DataFrame:
     return uploads.withColumn("reason", reason)
 
 
+def folder_manifest(files: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
+    """Files of a folder (`scan_uploads`) with `reason`: null = accepted, else the first rule that refuses the file."""
+    reason = (
+        F.when(~F.endswith(F.lower("file_name"), F.lit(".pdf")), "Only PDF files are supported")
+        .when(F.col("bytes") <= 0, "Uploaded file is empty")
+        .when(F.col("bytes") > max_bytes, "File is too large")
+        .when(~F.coalesce("signed", F.lit(False)), "Not a PDF document")
+    )
+    return files.select("path", "file_name", "bytes", reason.alias("reason"))
+
+
 def _first_by(df: DataFrame, by: str, *order) -> DataFrame:
     """The first row per key: prunes inside every map task before the shuffle."""
     w = Window.partitionBy(by).orderBy(*order)

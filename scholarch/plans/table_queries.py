@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import time
+
 from pyspark.sql import functions as F
 
 from scholarch import schemas
@@ -83,13 +86,33 @@ def scan_completed(a):
 
 @register(
     "scan_runs_latest",
-    "SELECT upload_id, run_id FROM (SELECT o.c AS upload_id, r.k AS run_id, row_number() OVER (PARTITION BY o.c ORDER BY r.m DESC, r.k DESC) AS rn FROM (SELECT DISTINCT o_custkey AS c FROM orders) o JOIN (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 997 AS m FROM orders) r ON r.c = o.c WHERE r.m >= 100) WHERE rn = 1",
+    """SELECT upload_id, 'doc_' || (upload_id % 50)::VARCHAR || '_new' AS run_id, pages FROM (
+         SELECT o_custkey AS upload_id, max(o_orderkey) AS k, max(o_orderkey) % 9 + 1 AS pages FROM orders GROUP BY o_custkey) WHERE k % 3 > 0""",
 )
 def scan_runs_latest(a):
-    path = F.concat(F.lit("/up/f"), F.col("o_custkey").cast("string"), F.lit(".pdf"))
-    runs = a.table("orders").select(path.alias("file_path"), F.col("o_orderkey").alias("run_id"), (F.col("o_orderkey") % 997).alias("mtime"))
-    uploads = a.table("orders").select(F.col("o_custkey").alias("upload_id"), path.alias("file_path"), F.lit(100).alias("started_at")).distinct()
-    return files.scan_runs_latest(runs, uploads).select("upload_id", "run_id")
+    """Runs written to disk in two waves; uploads that began between them look for the newer one.
+
+    The last order of a customer is a run of the second wave, unless its key is a multiple of three;
+    every second-wave folder also holds a run under the name of another file.
+    """
+    folder = new_location(a.spark, "runs")
+    o = a.table("orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"))
+    stem = F.concat(F.lit("doc_"), (F.col("c") % 50).cast("string"))
+    path = F.concat(F.lit("/up/"), F.col("c").cast("string"), F.lit("/"), stem, F.lit(".pdf"))
+    last = o.groupBy("c").agg(F.max("k").alias("k"))
+    fields = [path.alias("file_path"), (F.col("k") % 9 + 1).cast("long").alias("total_pages")]
+    o.select(*fields, F.concat(stem, F.lit("_old")).alias("run")).write.partitionBy("run").json(f"{folder}/first")
+    time.sleep(1.1)  # file times may be whole seconds
+    began = datetime.datetime.now(datetime.UTC)
+    time.sleep(1.1)
+    fresh = last.where("k % 3 > 0").select(*fields, F.concat(stem, F.lit("_new")).alias("run"))
+    elsewhere = last.where("k % 3 = 0").select(*fields, F.lit("doc_x_new").alias("run"))
+    fresh.union(elsewhere).write.partitionBy("run").json(f"{folder}/second")
+    runs = files.scan_runs(a.spark, folder, began.strftime("%Y-%m-%dT%H:%M:%S"))
+    uploads = last.select(F.col("c").alias("upload_id"), path.alias("file_path"), F.lit(began).cast("timestamp").alias("started_at"))
+    found = files.scan_runs_latest(runs.withColumn("run_id", F.regexp_replace("run_id", "^run=", "")), uploads)
+    pages = runs.select("file_path", F.regexp_replace("run_id", "^run=", "").alias("run_id"), F.col("total_pages").alias("pages"))
+    return found.select("upload_id", "run_id").join(uploads, "upload_id").join(pages, ["file_path", "run_id"]).select("upload_id", "run_id", "pages")
 
 
 @register("append_pending", "SELECT case_id::VARCHAR AS case_id, status, nom, prenom FROM (SELECT * FROM pending_case UNION ALL SELECT * FROM pending_case)")

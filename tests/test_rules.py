@@ -344,3 +344,36 @@ def test_ranks_within_groups(spark):
     got = ranks_within(rows, "g", ["x"], "r").select("g", "x", "r")
     want = rows.withColumn("r", (F.row_number().over(Window.partitionBy("g").orderBy("x")) - 1).cast("long"))
     assert got.exceptAll(want).count() == 0 and got.count() == 5000
+
+
+def test_folder_manifest_reads_only_what_may_pass(spark, tmp_path):
+    from scholarch.operators import lookups as K
+
+    contents = {"a.pdf": b"%PDF-1.7 x", "b.PDF": b"%PDF-1.4", "c.txt": b"%PDF-1.4", "e.pdf": b"%PDF-" + b"x" * 60, "f.pdf": b"PK\x03\x04", "sub dir/g h.pdf": b"%PDF-2.0"}
+    for name, content in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    uploads = files.scan_uploads(spark, str(tmp_path), 50)
+    got = {r.file_name: (r.bytes, r.reason) for r in K.folder_manifest(uploads, 50).collect()}
+    assert got == {
+        "a.pdf": (10, None), "b.PDF": (8, None), "c.txt": (8, "Only PDF files are supported"), "e.pdf": (65, "File is too large"), "f.pdf": (4, "Not a PDF document"), "g h.pdf": (8, None),
+    }
+    plan = uploads.select("file_name", "bytes")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1].splitlines()[0]
+
+
+def test_runs_are_pruned_by_time_and_matched_by_stem(spark, tmp_path):
+    import json
+    import os
+
+    for folder, path, when in (("doc_1_a", "/u/doc_1.pdf", 1000), ("doc_1_b", "/u/doc_1.pdf", 3000), ("doc_11_a", "/u/doc_1.pdf", 9000), ("doc_1_c", "/u/doc_11.pdf", 9000), ("doc_2_a", "/u/doc_2.pdf", 1500)):
+        (tmp_path / folder).mkdir()
+        file = tmp_path / folder / "extraction_result.json"
+        file.write_text(json.dumps({"file_path": path, "total_pages": 2, "pages": []}, indent=1))
+        os.utime(file, (when, when))
+    (tmp_path / "doc_1_d").mkdir()
+    (tmp_path / "doc_1_d" / "extraction_result.json").write_text("{ broken")
+    uploads = spark.createDataFrame([(1, "/u/doc_1.pdf", 2000), (2, "/u/doc_2.pdf", 2000), (3, "/u/doc_2.pdf", None)], "upload_id long, file_path string, at int")
+    uploads = uploads.select("upload_id", "file_path", F.timestamp_seconds("at").alias("started_at"))
+    assert [(r.upload_id, r.run_id) for r in files.scan_runs_latest(files.scan_runs(spark, str(tmp_path)), uploads).orderBy("upload_id").collect()] == [(1, "doc_1_b"), (3, "doc_2_a")]
+    assert {r.run_id for r in files.scan_runs(spark, str(tmp_path), "1970-01-01T00:30:00").collect()} == {"doc_1_b", "doc_11_a", "doc_1_c"}
