@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarch.llm.common import column
-from scholarch.llm.components import components
+from scholarch.llm.components import components, joined
 from scholarch.session import materialize
 
 LEAST = 0.98
@@ -89,19 +89,6 @@ def strip_links(a: Tile, b: Tile, rows: slice, least: float, same: bool) -> tupl
     return i[real >= least], j[real >= least]
 
 
-def joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest member of each connected set after adding the links (i, j)."""
-    while True:
-        a, b = root[i], root[j]
-        apart = a != b
-        if not apart.any():
-            return root
-        root = root.copy()
-        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-        while (root != root[root]).any():
-            root = root[root]
-
-
 def tile_links(a: Tile, b: Tile | None, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node, links, root) of the nodes that have links between the tiles, or inside `a` without `b`."""
     same, b = b is None, a if b is None else b
