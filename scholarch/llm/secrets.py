@@ -22,15 +22,23 @@ _NAMES = r"(?i:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passw(?:o
 _VALUE = "[A-Za-z0-9_+/=.~!@#$%^&*-]"
 # A name may stand inside a longer one (GITHUB_TOKEN, secret_key_base); 'password is' needs a digit in what follows.
 _ASSIGNED = (
-    r"(?:(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]{0,64}?)?" + _NAMES + r"""[A-Za-z0-9_.-]{0,64}(?:["']?\s{0,3}(?:=>|:=|[:=])\s{0,3}["']?|\s{1,3}(?i:is|was)\s{1,3}["']?(?=[^\s]{0,40}[0-9]))"""
+    r"(?:(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]*?)?" + _NAMES + r"""[A-Za-z0-9_.-]*(?:["']?\s{0,3}(?:=>|:=|[:=])\s{0,3}["']?|\s{1,3}(?i:is|was)\s{1,3}["']?(?=[^\s0-9]*+[0-9]))"""
 )
-_URL = r"://[^\s/:@\"']{0,64}:"
-_BEARER = r"(?i:\bbearer)\s{1,3}(?=[^\s]{0,40}[0-9])"
-# A key file with its body (to its end, or over base64 lines), a value after a name, a password in a URL, a bearer value, or a long unbroken run.
+_URL = r"://[^\s/:@\"']*+:"
+_BEARER = r"(?i:\bbearer)\s{1,3}(?=[^\s0-9]*+[0-9])"
+_BLOCK = r" [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_BREAK = r"(?:\s|\\[rn])"
+# A key file from its first line to its last, whatever lies between.  One without an end goes over header and base64 lines, and a last
+# shorter one.  Possessive repeats run in a loop, so their length is not bounded by a stack.
+_KEY_FILE = (
+    r"-----BEGIN" + _BLOCK + r"(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END" + _BLOCK
+    + "|(?:" + _BREAK + r"*+(?:[A-Za-z0-9+/=]{40,}+|[A-Z][A-Za-z-]++: [^\r\n\\]*+))*+(?:" + _BREAK + r"++[A-Za-z0-9+/=]++(?=[\r\n\\\"']|\z))?+)"
+)
+# A key file, a value after a name, a password in a URL, a bearer value, or a long unbroken run.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{0,20000}+-----END [A-Z ]{0,24}PRIVATE KEY-----|(?:(?:\s|\\[rn]){0,6}[A-Za-z0-9+/=]{40,}+){0,200}+)"
-    r"|" + _ASSIGNED + _VALUE + r"{8,}+"
-    r"|" + _URL + r"[^\s/@\"']{3,128}+(?=@)"
+    _KEY_FILE
+    + r"|" + _ASSIGNED + _VALUE + r"{8,}+"
+    r"|" + _URL + r"[^\s@\"']{3,}+(?=@)"
     r"|" + _BEARER + r"[A-Za-z0-9_+/=.~-]{8,}+"
     r"|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}"
 )
@@ -45,9 +53,13 @@ DICTIONARY = (
 ).split()
 _PLACEHOLDER = r"(?i)example|sample|dummy|changeme|change_me|your|placeholder|insert|xxxx|1234567|abcdef|\\*\\*\\*|todo|redacted|fake"
 
+_ISSUERS = "AKIA|ASIA|ghp_|gho_|glpat-|xox[abp]-|sk-|sk_live_|eyJ"
+# A value longer than LONG is also judged by its windows and by what begins like an issuer's key; the most telling one counts.
+LONG, WINDOW, STEP = 120, 48, 24
+
 # Features as SQL over a value {v}, the texts before {b} and after it {a}, and its path {p}.
 FEATURES = {
-    "length": "least(length({v}), 400)",
+    "length": "length({v})",
     "digits": "(length({v}) - length(regexp_replace({v}, '[0-9]+', ''))) / length({v})",
     "uppers": "(length({v}) - length(regexp_replace({v}, '[A-Z]+', ''))) / length({v})",
     "symbols": "(length({v}) - length(regexp_replace({v}, '[^A-Za-z0-9]+', ''))) / length({v})",
@@ -56,12 +68,12 @@ FEATURES = {
     "syllables": "regexp_count(lower({v}), '[bcdfghjklmnpqrstvwxyz][aeiouy]') / length({v})",
     "hard_runs": "regexp_count(lower({v}), '[bcdfghjklmnpqrstvwxz]{{4,}}') / length({v})",
     "repeats": "regexp_count({v}, '(.)\\\\1\\\\1') / length({v})",
-    "distinct": "size(array_distinct(split(left({v}, 400), ''))) / least(length({v}), 400)",
-    "entropy": "aggregate(array_distinct(split(left({v}, 400), '')), 0D, (e, ch) -> e - CASE WHEN ch = '' THEN 0D ELSE (least(length({v}), 400) - length(replace(left({v}, 400), ch, ''))) / least(length({v}), 400) * log2((least(length({v}), 400) - length(replace(left({v}, 400), ch, ''))) / least(length({v}), 400)) END)",
+    "distinct": "size(array_distinct(split({v}, ''))) / length({v})",
+    "entropy": "aggregate(array_distinct(split({v}, '')), 0D, (e, ch) -> e - CASE WHEN ch = '' THEN 0D ELSE (length({v}) - length(replace({v}, ch, ''))) / length({v}) * log2((length({v}) - length(replace({v}, ch, ''))) / length({v})) END)",
     "dictionary": "(length({v}) - length(regexp_replace(lower({v}), '" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + "', ''))) / length({v})",
     "placeholder": "CASE WHEN {v} RLIKE '" + _PLACEHOLDER + "' THEN 1 ELSE 0 END",
     "dashes": "CASE WHEN {v} RLIKE '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$' THEN 1 ELSE 0 END",
-    "issuer": "CASE WHEN {v} RLIKE '^(AKIA|ASIA|ghp_|gho_|glpat-|xox[abp]-|sk-|sk_live_|eyJ|-----BEGIN)' THEN 1 ELSE 0 END",
+    "issuer": "CASE WHEN {v} RLIKE '^(" + _ISSUERS + "|-----BEGIN)' THEN 1 ELSE 0 END",
     "test_path": "CASE WHEN {p} RLIKE '(?i)(^|[/_.-])(tests?|examples?|samples?|fixtures?|mocks?|docs?)([/_.-]|$)' THEN 1 ELSE 0 END",
     "secret_word": "CASE WHEN {b} RLIKE '(?i)(key|secret|token|passw(or)?d|pwd|credential|bearer|auth)[^a-z0-9]{{0,12}}$' THEN 2 WHEN {b} RLIKE '(?i)(key|secret|token|passw(or)?d|credential|auth)' THEN 1 ELSE 0 END",
     "hash_word": "CASE WHEN {b} RLIKE '(?i)(commit|sha-?[0-9]*|md5|hash|checksum|digest|revision|uuid|guid|etag|version|build)[^a-z0-9]{{0,12}}$' THEN 2 WHEN {b} RLIKE '(?i)(commit|sha-?[0-9]+|md5|hash|checksum|digest|revision|uuid)' THEN 1 ELSE 0 END",
@@ -76,13 +88,13 @@ def _features(v: str, b: str, a: str, p: str) -> dict[str, str]:
     return {name: "CAST(coalesce(" + sql.format(v=v, b=b, a=a, p=p) + ", 0) AS DOUBLE)" for name, sql in FEATURES.items()}
 
 
-def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """Built-in labelled findings: value, before, after, path, label (1: a secret).
+def labelled_findings(spark: SparkSession, n: int = FINDINGS, first: int = 0) -> DataFrame:
+    """Built-in labelled findings: value, before, after, path, label (1: a secret), made from the numbers from `first` on.
 
     Values are digests of the row number in the alphabets of real credentials; false positives are
     commit and file digests, identifiers, placeholders, long words, rulers, calls and test data.
     """
-    rows = spark.range(0, n, 1, 4).selectExpr(
+    rows = spark.range(first, first + n, 1, 4).selectExpr(
         "id % 26 AS kind",
         "sha1(CAST(id AS STRING)) AS h40",
         "sha2(CAST(id AS STRING), 256) AS h64",
@@ -115,7 +127,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         ("concat_ws('-', substr(h32, 1, 8), substr(h32, 9, 4), substr(h32, 13, 4), substr(h32, 17, 4), substr(h32, 21, 12))", "concat(prose, CASE WHEN r % 2 = 0 THEN ' id=' ELSE ' uuid ' END)", "' '", "plain_path", 0),
         ("element_at(array('your_api_token_here', 'changeme12345678', 'xxxxxxxxxxxxxxxxxxxxxxxx', 'EXAMPLEKEYEXAMPLEKEY', 'insert-your-secret-here', '****************', 'sample_password_1234567', 'placeholder-token-value'), CAST(1 + r % 8 AS INT))", given, quote, "plain_path", 0),
         ("wordy", "concat(prose, ' ')", "' '", "plain_path", 0),
-        ("snake", "CASE WHEN r % 2 = 0 THEN concat(prose, ' ') ELSE concat(word, op) END", "CASE WHEN r % 3 = 0 THEN '(' WHEN r % 3 = 1 THEN '[' ELSE ' ' END", "plain_path", 0),
+        ("CASE WHEN r % 4 = 3 THEN translate(snake, '_', '.') WHEN r % 4 = 1 THEN concat_ws('.', substr(wordy, 1, 2 + r % 6), substr(wordy, 3, 7), element_at(array('get', 'load', 'value', 'read'), 1 + r % 3)) ELSE snake END", "CASE WHEN r % 2 = 0 THEN concat(prose, ' ') ELSE concat(word, op) END", "CASE WHEN r % 3 = 0 THEN '(' WHEN r % 3 = 1 THEN '[' ELSE ' ' END", "plain_path", 0),
         ("repeat(element_at(array('=', '-', '_', '/', '0', '+='), CAST(1 + r % 6 AS INT)), 20 + r)", "concat(prose, ' ')", "' '", "plain_path", 0),
         ("concat_ws('/', 'src', snake, wordy, 'index')", "concat(prose, ' ')", "' '", "plain_path", 0),
         ("CASE WHEN r < 20 THEN h40 ELSE substr(b62, 1, 40) END", given, quote, "test_path", 0),
@@ -135,8 +147,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     return rows.selectExpr(f"{pick(0)} AS value", f"{pick(1)} AS before", f"{pick(2)} AS after", f"{pick(3)} AS path", f"{pick(4)} AS label")
 
 
-def train(findings: DataFrame, trees: int = 40, depth: int = 7, seed: int = 13) -> list[str]:
-    """A random forest on labelled findings, each tree as SQL over the features of a struct `f`."""
+def train_model(findings: DataFrame, trees: int = 40, depth: int = 7, seed: int = 13):
+    """The random forest of Spark ML from labelled findings."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
@@ -145,8 +157,12 @@ def train(findings: DataFrame, trees: int = 40, depth: int = 7, seed: int = 13)
     if len(rows.select("label").distinct().take(2)) < 2:
         raise ValueError("labelled findings of both kinds are needed")
     ready = VectorAssembler(inputCols=list(sql), outputCol="features").transform(rows).select("features", "label")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=3).fit(ready)
-    return [_tree_sql(tree.toDebugString) for tree in model.trees]
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=3).fit(ready)
+
+
+def train(findings: DataFrame, trees: int = 40, depth: int = 7, seed: int = 13) -> list[str]:
+    """A random forest on labelled findings, each tree as SQL over the features of a struct `f`."""
+    return [_tree_sql(tree.toDebugString) for tree in train_model(findings, trees, depth, seed).trees]
 
 
 def _tree_sql(printed: str) -> str:
@@ -190,18 +206,23 @@ def _judged(docs: DataFrame, forest: list[str], path_col: str | None, text_col:
                 'gap', length(_pieces[i])))"""
         ),
     )
-    features = ", ".join(f"'{n}', {e}" for n, e in _features("c.value", "c.before", "c.after", "_path").items())
+    features = ", ".join(f"'{n}', {e}" for n, e in _features("v", "c.before", "c.after", "_path").items())
     votes = " + ".join(f"({tree})" for tree in forest)
-    raw = raw.withColumn("_seen", F.expr(f"transform(_found, c -> named_struct('c', c, 'f', named_struct({features})))"))
-    scored = f"transform(transform(_seen, s -> named_struct('c', s.c, 'score', transform(array(s.f), f -> CAST(({votes}) / {len(forest)} AS DOUBLE))[0])), s -> named_struct('lead', s.c.lead, 'value', s.c.value, 'gap', s.c.gap, 'score', s.score))"
+    windows = f"transform(sequence(1, length(c.value), {STEP}), i -> substr(c.value, i, {WINDOW}))"
+    keys = f"regexp_extract_all(c.value, '(?:{_ISSUERS})[A-Za-z0-9_+/=-]{{16,64}}', 0)"
+    parts = f"CASE WHEN length(c.value) <= {LONG} OR c.value LIKE '-----BEGIN%' THEN array(c.value) ELSE concat(array(c.value), filter({windows}, w -> length(w) > {STEP}), {keys}) END"
+    raw = raw.withColumn("_seen", F.expr(f"transform(_found, c -> named_struct('c', c, 'f', transform({parts}, v -> named_struct({features}))))"))
+    scored = f"transform(transform(_seen, s -> named_struct('c', s.c, 'score', array_max(transform(s.f, f -> CAST(({votes}) / {len(forest)} AS DOUBLE))))), s -> named_struct('lead', s.c.lead, 'value', s.c.value, 'gap', s.c.gap, 'score', s.score))"
     return raw.withColumn("_found", F.expr(scored)).drop("_seen", "_whole", "_all", "_any", "_path")
 
 
 def scan(docs: DataFrame, forest: list[str], threshold: float = THRESHOLD, path_col: str | None = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate: id, n (from 0 in its text), start (in characters, from 0), value, score, is_secret.
 
-    Candidates below the threshold are the false positives; they are kept and marked.  Null and
-    empty texts have none; repeated rows give repeated findings; null ids and null paths are
+    Candidates below the threshold are the false positives; they are kept and marked.  A value is
+    judged as a whole, and a long one by all of its windows as well, of which the most telling one
+    counts; texts and values of any length are taken whole.  Null and empty texts have no candidates;
+    repeated rows give repeated findings; null ids and null paths are
     allowed; other columns are ignored; an empty table gives no rows.
     """
     own = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), (docs[path_col] if path_col else F.lit("")).alias("_source"))
