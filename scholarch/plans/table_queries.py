@@ -86,28 +86,33 @@ def scan_completed(a):
 
 @register(
     "scan_runs_latest",
-    """SELECT upload_id, 'doc_' || (upload_id % 50)::VARCHAR || '_new' AS run_id, pages FROM (
+    """SELECT upload_id, 'doc_' || (upload_id // 20)::VARCHAR || '_new' AS run_id, pages FROM (
          SELECT o_custkey AS upload_id, max(o_orderkey) AS k, max(o_orderkey) % 9 + 1 AS pages FROM orders GROUP BY o_custkey) WHERE k % 3 > 0""",
 )
 def scan_runs_latest(a):
     """Runs written to disk in two waves; uploads that began between them look for the newer one.
 
     The last order of a customer is a run of the second wave, unless its key is a multiple of three;
-    every second-wave folder also holds a run under the name of another file.
+    such a customer's run lies in a folder under another name.
     """
     folder = new_location(a.spark, "runs")
     o = a.table("orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"))
-    stem = F.concat(F.lit("doc_"), (F.col("c") % 50).cast("string"))
+    stem = F.concat(F.lit("doc_"), F.expr("c div 20").cast("string"))  # a folder holds the runs of twenty customers
     path = F.concat(F.lit("/up/"), F.col("c").cast("string"), F.lit("/"), stem, F.lit(".pdf"))
     last = o.groupBy("c").agg(F.max("k").alias("k"))
     fields = [path.alias("file_path"), (F.col("k") % 9 + 1).cast("long").alias("total_pages")]
-    o.select(*fields, F.concat(stem, F.lit("_old")).alias("run")).write.partitionBy("run").json(f"{folder}/first")
+
+    def write(rows, place):
+        listed = rows.groupBy("run").agg(F.to_json(F.collect_list(F.struct("file_path", "total_pages"))).alias("value"))
+        listed.write.partitionBy("run").text(f"{folder}/{place}")
+
+    write(o.select(*fields, F.concat(stem, F.lit("_old")).alias("run")), "first")
     time.sleep(1.1)  # file times may be whole seconds
     began = datetime.datetime.now(datetime.UTC)
     time.sleep(1.1)
     fresh = last.where("k % 3 > 0").select(*fields, F.concat(stem, F.lit("_new")).alias("run"))
-    elsewhere = last.where("k % 3 = 0").select(*fields, F.lit("doc_x_new").alias("run"))
-    fresh.union(elsewhere).write.partitionBy("run").json(f"{folder}/second")
+    elsewhere = last.where("k % 3 = 0").select(*fields, F.concat(F.lit("other_"), stem).alias("run"))
+    write(fresh.union(elsewhere), "second")
     runs = files.scan_runs(a.spark, folder, began.strftime("%Y-%m-%dT%H:%M:%S"))
     uploads = last.select(F.col("c").alias("upload_id"), path.alias("file_path"), F.lit(began).cast("timestamp").alias("started_at"))
     found = files.scan_runs_latest(runs.withColumn("run_id", F.regexp_replace("run_id", "^run=", "")), uploads)
