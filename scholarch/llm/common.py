@@ -17,6 +17,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let go of what finished jobs left: Spark frees shuffle files and broadcasts when the driver's JVM collects what named them.
+
+    A long chain of small jobs fills neither heap nor disk fast enough to cause that by itself, and a
+    heap that has grown is not given back.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Split Arrow batches so that one slice holds about `chars` characters; null texts become ''."""
     for batch in batches:

@@ -61,16 +61,21 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def components(links: DataFrame, one_task: int = ONE_TASK, written: bool = False) -> DataFrame:
     """(node, component) for all nodes of `links` (u, v: long); component is the smallest node.
 
+    `written` says that `links` only reads tables, so it is counted and read as it stands.
+
     Each round writes its links to the shared folder, so lineage stays short and lost executors
     cost one round.  The rounds needed grow with the logarithm of the longest chain.  Only counts
     and a checksum of the links return to the driver.
     """
-    now = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    now = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    if not written:
+        now = materialize(now, "links")
     if now.count() <= one_task:
         return _solved(now)
+    now = materialize(now.distinct(), "links")
     seen = None
     while True:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
