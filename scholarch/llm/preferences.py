@@ -95,6 +95,27 @@ def neighbouring_pairs(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.shiftright(conv.cast("long"), 1).alias("pair_id"), (conv.cast("long").bitwiseAND(F.lit(1)) == 1).alias("rejected"), "turn", "role", "text")
 
 
+def answered_otherwise(conversations: DataFrame) -> DataFrame:
+    """Turns of one pair per conversation: as it is (chosen), and up to its last assistant turn with another answer there (rejected).
+
+    pair_id is conv_id.  The other answer is the first one of conversation conv_id XOR 1; where that
+    has none the rejected side ends before the turn (it is missing, if that is the first one), and a
+    conversation without an answer is rejected as it is.  Of several rows of the last answer's turn one other answer comes out; rows
+    without a turn stand first and are on both sides.  Rows without a conv_id are left out; null
+    texts count as empty; other columns are ignored; an empty table gives no rows.
+
+    Per conversation one number and one answer are joined, so a hot conversation is aggregated in
+    the map tasks first.
+    """
+    own = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("pair_id"), "turn", "role", "text")
+    answers = own.where((F.col("role") == TRAINED_ROLE) & F.col("turn").isNotNull())
+    facts = answers.groupBy("pair_id").agg(F.max("turn").alias("last"), F.min(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))["text"].alias("first"))
+    others = facts.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("first").alias("other"))
+    cut = own.join(facts.select("pair_id", "last"), "pair_id", "left").where("last IS NULL OR turn IS NULL OR turn < last").drop("last")
+    replaced = facts.join(others, "pair_id").select("pair_id", F.col("last").alias("turn"), F.lit(TRAINED_ROLE).alias("role"), F.col("other").alias("text"))
+    return own.withColumn("rejected", F.lit(False)).unionByName(cut.union(replaced).withColumn("rejected", F.lit(True)))
+
+
 def mask_text(mask: Column) -> Column:
     """A mask as text: '0:12,1:340' for 12 characters not trained on and 340 trained on."""
     return F.array_join(F.transform(mask, lambda m: F.concat(F.when(m["train"], "1").otherwise("0"), F.lit(":"), m["chars"].cast("string"))), ",")

@@ -114,10 +114,16 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
 
 PREFERENCES_SQL = r"""
-WITH turns AS (
-    SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
-    FROM conversations WHERE conv_id IS NOT NULL
+WITH own AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+answers AS (SELECT pair_id, turn, coalesce(text, '') AS text FROM own WHERE role = 'assistant' AND turn IS NOT NULL),
+lasts AS (SELECT pair_id, max(turn) AS last FROM answers GROUP BY pair_id),
+firsts AS (SELECT pair_id, text FROM answers QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY turn, text) = 1),
+sided AS (
+    SELECT *, 0 AS side FROM own
+    UNION ALL SELECT own.*, 1 FROM own LEFT JOIN lasts USING (pair_id) WHERE last IS NULL OR turn IS NULL OR turn < last
+    UNION ALL SELECT l.pair_id, l.last, 'assistant', f.text, 1 FROM lasts l JOIN firsts f ON f.pair_id = xor(l.pair_id, 1)
 ),
+turns AS (SELECT pair_id, side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM sided),
 rendered AS (
     SELECT *, '<|' || role || '|>' || chr(10) AS head, replace(text, '<|', '< |') || chr(10) || '<|end|>' || chr(10) AS body FROM turns
 ),
@@ -151,7 +157,7 @@ FROM prefixes JOIN parts USING (pair_id)
 
 @query("op3_preferences", PREFERENCES_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = preferences.format_preferences(preferences.neighbouring_pairs(table(spark, folder, "conversations")))
+    pairs = preferences.format_preferences(preferences.answered_otherwise(table(spark, folder, "conversations")))
     masks = {c: preferences.mask_text(pairs[c]) for c in ("chosen_mask", "rejected_mask")}
     return pairs.withColumns(masks)
 
