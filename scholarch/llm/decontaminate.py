@@ -12,7 +12,10 @@ ways end in the same exact comparison of words.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import uuid
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -32,7 +35,6 @@ _SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *rang
 _FOLD = bytes(0x20 if b in set(_SEPARATORS) else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 20  # size of the first filter, as a power of two
 
 Found = tuple[list[bytes], list[tuple[int, int, list]]]  # words; occurrences: first word, words, item ids
 
@@ -49,53 +51,89 @@ def windows(words: list[bytes], n: int) -> Iterator[tuple[int, int]]:
 
 
 class Matcher:
-    """The windows of all items as a hash set, with a cheap filter in front of it."""
+    """The windows of all items as a hash set over packed arrays, with a cheap filter in front of it.
 
-    def __init__(self, items: list[tuple[object, bytes]], n: int):
-        self.grams: dict[bytes, list] = defaultdict(list)
-        lengths: dict[int, set[bytes]] = defaultdict(set)
+    Items are one array of word numbers and a window is its place there.  Equal windows are one entry
+    with the slice of its items; a window is taken for equal only after its word numbers were compared.
+    Beside one dictionary entry for each different word this takes about 40 bytes a window.
+    """
+
+    def __init__(self, items: list[tuple[str, bytes]], n: int):
+        self.names = sorted({item for item, _ in items})
+        number = {name: i for i, name in enumerate(self.names)}
+        self.ids: dict[bytes, int] = {}
+        flat = array("i")
+        parts: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for item, text in items:
-            words = text.split()
-            for i, size in windows(words, n):
-                gram = b" ".join(words[i : i + size])
-                if item not in self.grams[gram]:
-                    self.grams[gram].append(item)
-                lengths[size].add(gram)
-        self.ids = {w: i for i, w in enumerate(sorted({w for g in self.grams for w in g.split()}), 1)}
-        self.filters = []
-        for size, grams in sorted(lengths.items()):
-            codes = np.array([[self.ids[w] for w in g.split()] for g in grams], np.uint64)
-            seen = np.zeros(1 << _BITS, bool)
-            seen[self._code(codes.T)] = True
-            self.filters.append((size, seen))
+            first = len(flat)
+            flat.extend(self.ids.setdefault(w, len(self.ids) + 1) for w in text.split())
+            if size := min(n, len(flat) - first):
+                parts[size].append((first, len(flat) - first - size + 1, number[item]))
+        self.words = np.array(flat, np.int32)
+        self.sets = [(size, *self._pack(size, found)) for size, found in sorted(parts.items())]
+
+    def _pack(self, size: int, parts: list[tuple[int, int, int]]) -> tuple:
+        """(seed, bits, filter, codes, places, limits, items) of the windows of one size, by code."""
+        firsts, counts, numbers = np.array(parts, np.int64).T
+        every = np.repeat(firsts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+        owner = np.repeat(numbers, counts).astype(np.int32)
+        for seed in itertools.count(1):
+            code = self._code([self.words[every + j] for j in range(size)], seed)
+            order = np.lexsort((owner, code))
+            code, at, items = code[order], every[order], owner[order]
+            starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            head = np.repeat(at[starts], np.diff(np.append(starts, len(at))))
+            if all((self.words[at + j] == self.words[head + j]).all() for j in range(size)):
+                break  # else two windows share a code: number them anew
+        bits = max(20, int(len(starts) * 8).bit_length())
+        seen = np.zeros(1 << bits, bool)
+        seen[(code[starts] >> np.uint64(64 - bits)).astype(np.int64)] = True
+        return seed, bits, seen, code[starts], at[starts].astype(np.int32), np.append(starts, len(at)).astype(np.int32), items
 
     @staticmethod
-    def _code(columns) -> np.ndarray:
-        code = np.uint64(1)
-        for part in columns:
-            code = (code ^ part) * _MIX
-            code ^= code >> np.uint64(29)
-        return (code >> np.uint64(64 - _BITS)).astype(np.int64)
+    def _code(columns, seed: int) -> np.ndarray:
+        code = np.uint64(seed)
+        with np.errstate(over="ignore"):
+            for part in columns:
+                code = (code ^ part.astype(np.uint64)) * _MIX
+                code ^= code >> np.uint64(29)
+        return code
 
     def find(self, words: list[bytes]) -> list[tuple[int, int, list]]:
-        """All occurrences of windows in a document."""
+        """All occurrences of windows in a document; the items of a window come with its first occurrence."""
         get = self.ids.get
-        ids = np.array([get(w, 0) for w in words], np.uint64)
+        ids = np.array([get(w, 0) for w in words], np.int32)
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-        found = []
-        for size, seen in self.filters:
+        found: list[tuple[int, int, list]] = []
+        for size, seed, bits, seen, codes, places, limits, items in self.sets:
             if size > len(words):
                 break
             at = np.flatnonzero(unknown[size:] == unknown[:-size])
-            if len(at):
-                with np.errstate(over="ignore"):
-                    at = at[seen[self._code([ids[at + j] for j in range(size)])]]
-                for i in at.tolist():
-                    if items := self.grams.get(b" ".join(words[i : i + size])):
-                        found.append((i, size, items))
+            code = self._code([ids[at + j] for j in range(size)], seed)
+            likely = seen[(code >> np.uint64(64 - bits)).astype(np.int64)]
+            at, code = at[likely], code[likely]
+            entry = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            same = codes[entry] == code
+            for j in range(size):
+                same &= self.words[places[entry] + j] == ids[at + j]
+            at, entry = at[same], entry[same]
+            once = np.zeros(len(at), bool)
+            once[np.unique(entry, return_index=True)[1]] = True
+            for i, e, new in zip(at.tolist(), entry.tolist(), once.tolist(), strict=True):
+                found.append((i, size, [self.names[k] for k in np.unique(items[limits[e] : limits[e + 1]])] if new else []))
         return found
 
 
+_LAST: dict[tuple[str, int], Matcher] = {}  # of this Python worker, so that its tasks share one
+
+
+def _matcher(key: str, held, n: int) -> Matcher:
+    if (key, n) not in _LAST:
+        _LAST.clear()
+        _LAST[key, n] = Matcher(held.value, n)
+    return _LAST[key, n]
+
+
 def hit_mask(n_words: int, found: list[tuple[int, int, list]]) -> np.ndarray:
     steps = np.zeros(n_words + 1, np.int32)
     for first, size, _ in found:
@@ -137,9 +175,10 @@ def _normalised(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame
     return own.mapInArrow(run, schema).where("n > 0").distinct()
 
 
-def _by_join(docs: DataFrame, items: DataFrame, n: int, text_col: str) -> DataFrame:
-    """The documents with a column `_found` of occurrences, for a benchmark too large to broadcast."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-documents")
+def _by_join(docs: DataFrame, items: DataFrame, n: int, text_col: str, found_col: str) -> DataFrame:
+    """The documents with a column of occurrences, for a benchmark too large to broadcast."""
+    row_col = f"row_{uuid.uuid4().hex}"
+    rows = materialize(docs.withColumn(row_col, F.monotonically_increasing_id()), "numbered-documents")
     sizes = sorted(r.size for r in items.select(F.least("n", F.lit(n)).alias("size")).distinct().collect())  # at most n values
 
     def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,34 +203,36 @@ def _by_join(docs: DataFrame, items: DataFrame, n: int, text_col: str) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["_row", "first", "size", "h"])
 
     grams = items.select("item", "words").mapInArrow(item_windows, "h binary, gram binary, item string")
-    spots = rows.select("_row", rows[text_col].alias("_text")).mapInArrow(doc_windows, "_row long, first int, size int, h binary")
+    spots = rows.select(rows[row_col].alias("_row"), rows[text_col].alias("_text")).mapInArrow(doc_windows, "_row long, first int, size int, h binary")
     per_gram = grams.groupBy("h", "gram").agg(F.collect_set("item").alias("items"))
-    found = spots.join(per_gram, "h").groupBy("_row").agg(F.collect_list(F.struct("first", "size", "gram", "items")).alias("_found"))
-    return rows.join(found, "_row", "left").drop("_row")
+    found = spots.join(per_gram, "h").groupBy("_row").agg(F.collect_list(F.struct("first", "size", "gram", "items")).alias(found_col))
+    return rows.join(found.withColumnRenamed("_row", row_col), row_col, "left").drop(row_col)
 
 
 def _matched(docs: DataFrame, benchmark: DataFrame, n: int, max_words: int, text_col: str, finish: Callable[[pa.RecordBatch, list[str], list[Found]], pa.RecordBatch], schema: T.StructType, item_col: str, item_text: str) -> DataFrame:
     """Apply `finish` to slices of documents with what was found in them."""
     items = materialize(_normalised(benchmark, item_col, item_text), "benchmark-words")
     total = items.agg(F.sum("n")).first()[0] or 0
+    key = uuid.uuid4().hex
     if total > max_words:
+        found_col = f"found_{key}"  # a name that no document table holds
 
         def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, texts in text_slices(batches, text_col):
                 found = []
-                for text, spots in zip(texts, column(batch, "_found").to_pylist(), strict=True):
+                for text, spots in zip(texts, column(batch, found_col).to_pylist(), strict=True):
                     words = words_of(text)
                     same = [s for s in spots or [] if b" ".join(words[s["first"] : s["first"] + s["size"]]) == s["gram"]]
                     found.append((words, [(s["first"], s["size"], s["items"]) for s in same]))
                 yield finish(batch, texts, found)
 
-        return _by_join(docs, items, n, text_col).mapInArrow(run_joined, schema)
+        return _by_join(docs, items, n, text_col, found_col).mapInArrow(run_joined, schema)
 
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast([(str(r.item), bytes(r.words)) for r in items.select("item", "words").collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(held.value, n)
+        matcher = _matcher(key, held, n)
         for batch, texts in text_slices(batches, text_col):
             found = []
             for text in texts:

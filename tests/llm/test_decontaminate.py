@@ -61,6 +61,37 @@ def test_empty_tables(tables):
     assert decontaminate.contamination(left, right.limit(0)).where("contaminated").count() == 0
 
 
+def test_windows_that_share_a_code_are_numbered_anew(monkeypatch):
+    items = [(str(i), f"w{i} w{i + 1} w{i % 3} end".encode()) for i in range(40)]
+    plain = decontaminate.Matcher(items, 3)
+    text = b" ".join(t for _, t in items[5:9] + items[5:9]).split()
+    found = [plain.find(text)]
+    code = decontaminate.Matcher._code
+    seeds = []
+
+    def poor(columns, seed):
+        seeds.append(seed)
+        return code(columns, seed) >> (60 if seed < 3 else 0) << (60 if seed < 3 else 0)
+
+    monkeypatch.setattr(decontaminate.Matcher, "_code", staticmethod(poor))
+    again = decontaminate.Matcher(items, 3)
+    assert seeds == [1, 2, 3]
+    found.append(again.find(text))
+    want = {(i, 3) for i in range(len(text) - 2) if any(b" ".join(text[i : i + 3]) in t for _, t in items)}
+    for spots in found:
+        assert {f[:2] for f in spots} == want
+        assert sorted({k for f in spots for k in f[2]}) == ["5", "6", "7", "8"]
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_column_names_of_its_own_do_not_clash(tables, most):
+    _, _, left, right = tables
+    odd = left.selectExpr("doc_id", "text", "doc_id AS _row", "text AS _found", "1 AS first", "2 AS h")
+    out = decontaminate.remove_hits(odd, right, max_words=most)
+    assert out.columns == odd.columns
+    assert sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, decontaminate.remove_hits(left, right, max_words=most).select("doc_id", "text").collect()))
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_removal(tables, most):
     docs, items, left, right = tables
