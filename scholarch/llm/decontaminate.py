@@ -109,8 +109,12 @@ class Matcher:
             if size > len(words):
                 break
             at = np.flatnonzero(unknown[size:] == unknown[:-size])
+            if not len(at):
+                continue
             code = self._code([ids[at + j] for j in range(size)], seed)
             likely = seen[(code >> np.uint64(64 - bits)).astype(np.int64)]
+            if not likely.any():
+                continue
             at, code = at[likely], code[likely]
             entry = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
             same = codes[entry] == code
