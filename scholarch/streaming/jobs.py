@@ -36,7 +36,11 @@ def read_runs(spark: SparkSession, folder: str, files_at_once: int | None = None
 
 
 def read_table_stream(spark: SparkSession, folder: str, table: str, schema: StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    """A table as a stream: one Parquet file or a folder of part files.
+
+    The pattern makes the source list what it names; a plain path would have to be a folder.
+    """
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
 
 
 def run_available(stream: DataFrame, output: str, checkpoint: str, mode: str = "append") -> list:
