@@ -29,31 +29,42 @@ def folded_code(x: Column) -> Column:
     return F.upper(F.btrim(x))
 
 
-def resolve_sheets(sheets: DataFrame, ref: dict[str, DataFrame]) -> DataFrame:
-    """Sheets with etudiant_id, programme_id, formation_id, groupe_id and `reason` (null: all resolved).
+def with_join_keys(sheets: DataFrame) -> DataFrame:
+    """Sheets with the keys under which their names are looked up.
 
-    A student is found by number, else by folded name when only one has it.
+    A sheet that the join by number or by name does not serve takes a key of its own there: null keys
+    would all meet in one task.
     """
-    people = ref["etudiant"].select("id", "matricule", normalize_text(F.concat_ws(" ", "nom", "prenom")).alias("_name"))
-    by_number = people.groupBy("matricule").agg(F.min("id").alias("_by_number"))
-    by_name = people.groupBy("_name").agg(F.min("id").alias("_by_name"), F.count("*").alias("_namesakes"))
-    programme = ref["programme"].select(F.col("id").alias("programme_id"), folded_code(F.col("code")).alias("_code"))
-    year = ref["annee_universitaire"].select(F.col("id").alias("_year_id"), F.col("annee").alias("_year"))
-    formation = ref["formation"].select(F.col("id").alias("formation_id"), "programme_id", F.col("annee_univ_id").alias("_year_id"))
-    group = ref["groupe"].select(F.col("id").alias("groupe_id"), folded_code(F.col("code")).alias("_group"), "formation_id")
     number = F.nullif(F.btrim("matricule"), F.lit(""))
-    keyed = sheets.withColumns(
+    own = F.concat(F.lit("#"), F.coalesce(F.col("sheet_id").cast("string"), F.lit("")))
+    return sheets.withColumns(
         {
             "matricule": number,
+            "_number": F.coalesce(F.concat(F.lit("="), number), own),
             # rows that have a number need no name
-            "_name": F.when(number.isNull(), normalize_text(F.concat_ws(" ", "nom", "prenom"))),
+            "_name": F.when(number.isNull(), normalize_text(F.concat_ws(" ", "nom", "prenom"))).otherwise(own),
             "_code": folded_code(F.col("programme")),
             "_year": F.regexp_replace(F.btrim("annee"), "\\s*/\\s*", "-"),
             "_group": folded_code(F.col("groupe")),
         }
     )
+
+
+def resolve_sheets(sheets: DataFrame, ref: dict[str, DataFrame]) -> DataFrame:
+    """Sheets with etudiant_id, programme_id, formation_id, groupe_id and `reason` (null: all resolved).
+
+    A student is found by number, else by folded name when only one has it.
+    """
+    people = ref["etudiant"].select("id", "matricule", normalize_text(F.concat_ws(" ", "nom", "prenom")).alias("_name"))
+    by_number = people.groupBy(F.concat(F.lit("="), "matricule").alias("_number")).agg(F.min("id").alias("_by_number"))
+    by_name = people.groupBy("_name").agg(F.min("id").alias("_by_name"), F.count("*").alias("_namesakes"))
+    programme = ref["programme"].select(F.col("id").alias("programme_id"), folded_code(F.col("code")).alias("_code"))
+    year = ref["annee_universitaire"].select(F.col("id").alias("_year_id"), F.col("annee").alias("_year"))
+    formation = ref["formation"].select(F.col("id").alias("formation_id"), "programme_id", F.col("annee_univ_id").alias("_year_id"))
+    group = ref["groupe"].select(F.col("id").alias("groupe_id"), folded_code(F.col("code")).alias("_group"), "formation_id")
+    keyed = with_join_keys(sheets)
     found = (
-        keyed.join(by_number, "matricule", "left")
+        keyed.join(by_number, "_number", "left")
         .join(by_name, "_name", "left")
         .join(programme, "_code", "left")
         .join(year, "_year", "left")
