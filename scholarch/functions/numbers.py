@@ -29,13 +29,18 @@ def _finite(text: Column) -> Column:
     """Strict decimal text to double: nan/infinity spellings and type suffixes give null."""
     strict = "^[-+]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][-+]?[0-9]+)?$"
     value = F.regexp_extract(text, strict, 0).try_cast("double")
-    return F.when(F.abs(value) < float("inf"), value)
+    # as the element of an array the value is worked out once and tested after
+    return F.get(F.filter(F.array(value), lambda v: F.abs(v) < float("inf")), F.lit(0))
 
 
 def finite_or_null(col: Column) -> Column:
-    """Number of a text; '' gives null, white space alone gives 0, anything else unreadable null."""
+    """Number of a text; '' gives null, white space alone gives 0, anything else unreadable null.
+
+    A plain number needs no trimming, which costs more than the pattern.
+    """
     text = trim_ws(col)
-    return F.when(col == "", F.lit(None).cast("double")).when(text == "", F.lit(0.0)).otherwise(_finite(text))
+    padded = F.when(text == "", F.lit(0.0)).otherwise(_finite(text))
+    return F.when(col == "", F.lit(None).cast("double")).otherwise(F.coalesce(_finite(col), padded))
 
 
 def decimal_comma_or_null(col: Column) -> Column:
@@ -49,22 +54,32 @@ def tri(value: Column, uncertain: Column) -> Column:
 
 def _read(col: Column, value: Column) -> Column:
     """Tri-state of a text and the value read from it: marker words and misreads are uncertain."""
-    return tri(value, F.coalesce((trim_ws(col) != "") & value.isNull(), F.lit(False)))
+    # as the element of an array the value is worked out once and named twice
+    read = F.transform(F.array(value), lambda v: tri(v, F.coalesce(v.isNull() & (trim_ws(col) != ""), F.lit(False))))
+    return F.get(read, F.lit(0))
+
+
+def _written(col: Column, pattern: str, group: int = 0) -> Column:
+    """The number of a text that is one by the pattern, white space around it aside."""
+
+    def of(text: Column) -> Column:
+        return F.regexp_extract(F.replace(text, F.lit(","), F.lit(".")), pattern, group).try_cast("double")
+
+    return F.coalesce(of(col), of(trim_ws(col)))
 
 
 def number_or_uncertain(col: Column) -> Column:
-    return _read(col, F.regexp_extract(_dotted(col), "^[-+]?[0-9]+(?:\\.[0-9]+)?$", 0).try_cast("double"))
+    return _read(col, _written(col, "^[-+]?[0-9]+(?:\\.[0-9]+)?$"))
 
 
 def natural_or_uncertain(col: Column) -> Column:
     """number_or_uncertain cut to its whole part; negatives (whole part below zero) are uncertain."""
-    whole = "^(?:\\+?|-(?=0+(?:\\.|$)))([0-9]+)(?:\\.[0-9]+)?$"
-    return _read(col, F.regexp_extract(_dotted(col), whole, 1).try_cast("double"))
+    return _read(col, _written(col, "^(?:\\+?|-(?=0+(?:\\.|$)))([0-9]+)(?:\\.[0-9]+)?$", 1))
 
 
 def decimal_avg_or_uncertain(col: Column) -> Column:
     """Only readings written with a decimal separator count; whole numbers are uncertain."""
-    return _read(col, F.regexp_extract(_dotted(col), "^[-+]?[0-9]+\\.[0-9]+$", 0).try_cast("double"))
+    return _read(col, _written(col, "^[-+]?[0-9]+\\.[0-9]+$"))
 
 
 def format_academic(value: Column) -> Column:
