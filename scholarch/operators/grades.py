@@ -14,7 +14,7 @@ from scholarch.functions.numbers import (
     number_or_uncertain,
     tri,
 )
-from scholarch.operators.pages import PAGE_KEYS, conform_results
+from scholarch.operators.pages import PAGE_KEYS, conform_results, unnest
 
 TOLERANCE = 0.011
 
@@ -79,54 +79,64 @@ def postprocess_single(pages: DataFrame) -> DataFrame:
     )
 
 
-def _or_uncertain(col: Column) -> Column:
+def or_uncertain(col: Column) -> Column:
     return F.when(col == "", F.lit("uncertain")).otherwise(col)
 
 
+def _typed_student(s: Column, enforce: bool) -> Column:
+    m = s["moyenne"]
+    avg = {n: decimal_avg_or_uncertain(m[n]) for n in ("S1", "S2", "annuel")}
+    if enforce:
+        avg["annuel"] = fix_annual_average(avg["S1"], avg["S2"], avg["annuel"])
+        rang = annual_rank_only(s["rang"])
+    else:
+        rang = F.struct(*[natural_or_uncertain(s["rang"][n]).alias(n) for n in ("S1", "S2", "annuel")])
+    return F.struct(
+        or_uncertain(s["nom"]).alias("nom"),
+        or_uncertain(s["prenom"]).alias("prenom"),
+        F.nullif(s["matricule"], F.lit("")).alias("matricule"),
+        F.coalesce(
+            F.transform(
+                s["modules"],
+                lambda x: F.struct(
+                    or_uncertain(x["code"]).alias("code"),
+                    number_or_uncertain(x["noteS1"]).alias("noteS1"),
+                    number_or_uncertain(x["noteS2"]).alias("noteS2"),
+                ),
+            ),
+        ).alias("modules"),
+        F.struct(*[avg[n].alias(n) for n in ("S1", "S2", "annuel")]).alias("moyenne"),
+        rang.alias("rang"),
+        s["decisionDeJuin"].alias("decisionDeJuin"),
+        natural_or_uncertain(s["nbrAbs"]).alias("nbrAbs"),
+        natural_or_uncertain(s["noteDeStage"]).alias("noteDeStage"),
+        s["decisionFinaleDuConseil"].alias("decisionFinaleDuConseil"),
+    )
+
+
 def normalize_student_payload(pages: DataFrame, enforce: bool = False) -> DataFrame:
     """Typed copy of every student of a page: one row per page with a clean `students` array.
 
     `enforce` also applies the summary rules (annual average consistency, annual rank only).
     """
-
-    def student(s: Column) -> Column:
-        m = s["moyenne"]
-        avg = {n: decimal_avg_or_uncertain(m[n]) for n in ("S1", "S2", "annuel")}
-        if enforce:
-            avg["annuel"] = fix_annual_average(avg["S1"], avg["S2"], avg["annuel"])
-            rang = annual_rank_only(s["rang"])
-        else:
-            rang = F.struct(*[natural_or_uncertain(s["rang"][n]).alias(n) for n in ("S1", "S2", "annuel")])
-        return F.struct(
-            _or_uncertain(s["nom"]).alias("nom"),
-            _or_uncertain(s["prenom"]).alias("prenom"),
-            F.nullif(s["matricule"], F.lit("")).alias("matricule"),
-            F.coalesce(
-                F.transform(
-                    s["modules"],
-                    lambda x: F.struct(
-                        _or_uncertain(x["code"]).alias("code"),
-                        number_or_uncertain(x["noteS1"]).alias("noteS1"),
-                        number_or_uncertain(x["noteS2"]).alias("noteS2"),
-                    ),
-                ),
-            ).alias("modules"),
-            F.struct(*[avg[n].alias(n) for n in ("S1", "S2", "annuel")]).alias("moyenne"),
-            rang.alias("rang"),
-            s["decisionDeJuin"].alias("decisionDeJuin"),
-            natural_or_uncertain(s["nbrAbs"]).alias("nbrAbs"),
-            natural_or_uncertain(s["noteDeStage"]).alias("noteDeStage"),
-            s["decisionFinaleDuConseil"].alias("decisionFinaleDuConseil"),
-        )
-
     r = F.col("result")
     return conform_results(pages).select(
         *PAGE_KEYS,
         *[r[n].alias(n) for n in ("anneeEtude", "section", "option", "error", "markdown")],
-        F.transform(r["students"], student).alias("students"),
+        F.transform(r["students"], lambda s: _typed_student(s, enforce)).alias("students"),
     )
 
 
+def normalize_students(pages: DataFrame, enforce: bool = False) -> DataFrame:
+    """The same students one row each (`pos`, `st`): fields that are not read are not typed."""
+    rows = unnest(conform_results(pages), "result.students", *PAGE_KEYS, item="_s")
+    return rows.select(*PAGE_KEYS, "pos", _typed_student(F.col("_s"), enforce).alias("st"))
+
+
+def typed_coefficient(matiere: Column) -> Column:
+    return F.struct(*[natural_or_uncertain(matiere["coef"][n]).alias(n) for n in ("S1", "S2")])
+
+
 def normalize_module_table(pages: DataFrame) -> DataFrame:
     """Typed subject table of a page and the number of usable modules in it."""
 
@@ -137,9 +147,9 @@ def normalize_module_table(pages: DataFrame) -> DataFrame:
     rows = F.transform(
         r["matieres"],
         lambda m: F.struct(
-            _or_uncertain(m["abrev"]).alias("abrev"),
-            _or_uncertain(m["libelle"]).alias("libelle"),
-            F.struct(natural_or_uncertain(m["coef"]["S1"]).alias("S1"), natural_or_uncertain(m["coef"]["S2"]).alias("S2")).alias("coef"),
+            or_uncertain(m["abrev"]).alias("abrev"),
+            or_uncertain(m["libelle"]).alias("libelle"),
+            typed_coefficient(m).alias("coef"),
             six(m["moyenne"]).alias("moyenne"),
         ),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from scholarch.functions.numbers import decimal_avg_or_uncertain
 from scholarch.functions.similarity import assign_remaining, code_similarity, repaired_names, sequence_ratio
 from scholarch.functions.text import normalize_code, trim_ws
-from scholarch.operators.grades import averages_match, normalize_module_table
+from scholarch.operators.grades import averages_match, count_modules, or_uncertain, typed_coefficient
 from scholarch.operators.pages import PAGE_KEYS, conform_results
 
 STOP_COUNT = 8  # fast mode; 10 in thorough mode
@@ -20,31 +20,28 @@ MIN_CODE_SCORE = 0.72
 MIN_NAME_RATIO = 0.75
 
 
-def _trusted_tables(pages: DataFrame, stop: int) -> DataFrame:
+def subject_tables(pages: DataFrame, *more: Column) -> DataFrame:
+    """Every page with its subjects' typed codes and coefficients (null: a page without a table), and further columns."""
+    typed = F.transform("result.matieres", lambda m: F.struct(or_uncertain(m["abrev"]).alias("abrev"), typed_coefficient(m).alias("coef")))
+    return conform_results(pages).select(*PAGE_KEYS, typed.alias("matieres"), *more)
+
+
+def _trusted_tables(tables: DataFrame, stop: int) -> DataFrame:
+    """Per document the page to trust, of `subject_tables`: one shuffle by document, no join."""
     doc = ["batch_id", "file_name"]
-    second = (
-        _rank_in_document(pages.select(*PAGE_KEYS), 2, doc)
-        .groupBy(*doc)
-        .agg(F.max("page_number").alias("p2"))
-    )
-    visit = F.when(F.col("page_number") == F.col("p2"), -1).otherwise(F.col("page_number"))
+    n = count_modules(F.col("matieres"))
+    w = Window.partitionBy(*doc).orderBy("page_number")
+    ranked = tables.select(*PAGE_KEYS, "matieres", n.alias("n_modules"), F.row_number().over(w).alias("page_rank"))
     reached = F.col("n_modules") >= stop
-    order = F.struct(
-        (~reached).alias("later"),
-        F.when(reached, F.lit(0)).otherwise(-F.col("n_modules")).alias("fewer"),
-        visit.alias("visit"),
-    )
-    # pages without modules drop out through a null order; a filter on the computed count
-    # would be pushed down with a second copy of the whole typing expression
-    usable = F.when(F.col("n_modules") > 0, order)
-    return (
-        normalize_module_table(pages)
-        .join(second, doc, "left")
-        .groupBy(*doc)
-        .agg(F.min_by(F.struct("page_number", "n_modules", "matieres"), usable).alias("best"))
-        .filter("best is not null")
-        .select(*doc, "best.*")
-    )
+    # pages without modules drop out through a null order
+    merit = F.when(F.col("n_modules") > 0, F.struct((~reached).alias("later"), F.when(reached, F.lit(0)).otherwise(-F.col("n_modules")).alias("fewer")))
+    rows = ranked.withColumn("merit", merit)
+    page = F.struct("page_number", "n_modules", "matieres", "merit")
+    first = F.min_by(page, F.when(F.col("merit").isNotNull(), F.struct("merit", "page_number"))).alias("first")
+    # the second page is visited before all others, so it wins where no page is better
+    second = F.max_by(page, F.when(F.col("merit").isNotNull() & (F.col("page_rank") == 2), F.col("page_rank"))).alias("second")
+    best = F.when(F.col("second.merit") == F.col("first.merit"), F.col("second")).otherwise(F.col("first")).alias("best")
+    return rows.groupBy(*doc).agg(first, second).filter("first is not null").select(*doc, best).select(*doc, "best.page_number", "best.n_modules", "best.matieres")
 
 
 def select_module_table(pages: DataFrame, stop: int = STOP_COUNT) -> DataFrame:
@@ -54,7 +51,7 @@ def select_module_table(pages: DataFrame, stop: int = STOP_COUNT) -> DataFrame:
     `stop` modules; otherwise the fullest page (earliest visit on ties) wins.  A document
     without any module gives no row.
     """
-    return _trusted_tables(pages, stop).select(*PAGE_KEYS, "n_modules")
+    return _trusted_tables(subject_tables(pages), stop).select(*PAGE_KEYS, "n_modules")
 
 
 def distinct_pair_scores(pairs: DataFrame, left: str, right: str, name: bool = False) -> DataFrame:
@@ -134,15 +131,15 @@ def align_modules(df: DataFrame, modules: str, expected: str, output: str = "ali
     )
 
 
-def with_expected_modules(rows: DataFrame, pages: DataFrame, stop: int = STOP_COUNT) -> DataFrame:
-    """Join each document's trusted subject table: `expected` codes and `coefficients`.
+def with_expected_modules(rows: DataFrame, tables: DataFrame, stop: int = STOP_COUNT) -> DataFrame:
+    """Join each document's trusted subject table (of `subject_tables`): `expected` codes and `coefficients`.
 
     The table side has one row per document, so a document with very many student rows
     stays a plain skew-splittable equi-join.
     """
     doc = ["batch_id", "file_name"]
-    chosen = _trusted_tables(pages, stop).select(*doc, "matieres")
-    return rows.join(chosen, doc).withColumn("expected", F.col("matieres.abrev")).withColumn("coefficients", F.col("matieres.coef")).drop("matieres")
+    chosen = _trusted_tables(tables, stop).select(*doc, F.col("matieres.abrev").alias("expected"), F.col("matieres.coef").alias("coefficients"))
+    return rows.join(chosen, doc)
 
 
 def coefficient_gate(note: Column, note_uncertain: Column, coef: Column, coef_uncertain: Column) -> Column:

@@ -377,3 +377,71 @@ def test_runs_are_pruned_by_time_and_matched_by_stem(spark, tmp_path):
     uploads = uploads.select("upload_id", "file_path", F.timestamp_seconds("at").alias("started_at"))
     assert [(r.upload_id, r.run_id) for r in files.scan_runs_latest(files.scan_runs(spark, str(tmp_path)), uploads).orderBy("upload_id").collect()] == [(1, "doc_1_b"), (3, "doc_2_a")]
     assert {r.run_id for r in files.scan_runs(spark, str(tmp_path), "1970-01-01T00:30:00").collect()} == {"doc_1_b", "doc_11_a", "doc_1_c"}
+
+
+# --- what a query does not read is not worked out --------------------------------------------------
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _sf_pages(spark):
+    from scholarch.sources.adapters import Archive
+
+    return Archive(spark, "/root/testdata/sf0.001").page()
+
+
+def test_student_rows_cost_only_the_columns_read(spark):
+    from scholarch.operators import pages as P
+
+    rows = P.parse_students(_sf_pages(spark))
+    assert "[eE]" in _optimized(rows.select("avg_s1"))  # the pattern of a number
+    assert "[eE]" not in _optimized(rows.select("page_number", "modules"))
+
+
+def test_averages_name_the_notes_once(spark):
+    from pyspark.sql import functions as F
+    from scholarch.operators import pages as P
+
+    row = spark.sql("SELECT array(struct('12.5' AS s1), struct('' AS s1), struct('x' AS s1), struct(' ' AS s1), struct('1e999' AS s1)) AS cells")
+    mean = row.select(P.average_of_cells(F.col("cells"), "s1").alias("m"))
+    assert mean.first().m == 6.25
+    # once as it stands and once trimmed
+    assert _optimized(mean).count("[eE]") <= 2
+    assert row.select(P.average_of_cells(F.slice("cells", 2, 2), "s1").alias("m")).first().m is None
+
+
+def test_aligned_students_read_their_pages_once(spark):
+    from scholarch.plans import QUERIES
+
+    # the pages are parsed where they are written; both sides of the join read what was written
+    assert "from_json" not in _optimized(QUERIES["align_modules_exact"](spark, "/root/testdata/sf0.001"))
+
+
+def test_trusted_table_of_visited_pages(spark):
+    from pyspark.sql import functions as F
+    from scholarch.operators import modules as M
+
+    def page(doc, number, codes):
+        return ("b", doc, number, None if codes is None else [(f"C{i}", None) for i in range(codes)])
+
+    documents = {"second wins a tie": [3, 3, 3], "first full page": [9, 2, 8], "second full page": [9, 8, 9], "one page": [4], "fullest": [None, 2, 5, 5], "none": [None, None]}
+    rows = [page(d, n + 1, c) for d, sizes in documents.items() for n, c in enumerate(sizes)]
+    pages = spark.createDataFrame(rows, "batch_id string, file_name string, page_number long, m array<struct<abrev: string, coef: struct<S1: string, S2: string>>>")
+    chosen = M.select_module_table(pages.select("batch_id", "file_name", "page_number", F.struct(F.col("m").alias("matieres")).alias("result")))
+    got = {r.file_name: (r.page_number, r.n_modules) for r in chosen.collect()}
+    assert got == {"second wins a tie": (2, 3), "first full page": (1, 9), "second full page": (2, 8), "one page": (1, 4), "fullest": (3, 5)}
+
+
+def test_student_payload_as_rows(spark):
+    from pyspark.sql import functions as F
+    from scholarch.operators import grades as G
+    from scholarch.operators import pages as P
+
+    pages = _sf_pages(spark)
+    listed = P.unnest(G.normalize_student_payload(pages), "students", *P.PAGE_KEYS, item="st")
+    rows = G.normalize_students(pages)
+    assert rows.count() > 0
+    assert rows.select(*listed.columns).exceptAll(listed).isEmpty() and listed.exceptAll(rows.select(*listed.columns)).isEmpty()
+    assert "regexp" not in _optimized(rows.select(F.col("st.nom"))).replace("regexp_replace", "")
