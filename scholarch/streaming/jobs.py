@@ -151,9 +151,10 @@ class OperationTracker(StatefulProcessor):
         self.state = handle.getValueState("operation", _STATE)
 
     def _held(self) -> dict | None:
-        if not self.state.exists():
+        kept = self.state.get()
+        if kept is None:
             return None
-        held = dict(zip(_STATE.names, self.state.get(), strict=True))
+        held = dict(zip(_STATE.names, kept, strict=True))
         held["updated_at"] = pd.Timestamp(held["updated_at"])
         return held
 
@@ -164,26 +165,38 @@ class OperationTracker(StatefulProcessor):
     def _closed(self, held: dict) -> dict:
         return {**held, "status": "failed", "stage": "stale", "updated_at": held["updated_at"] + self.stale}
 
-    def _hold(self, held: dict) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _end(self, held: dict) -> int | None:
+        """When the timer of this operation runs out; None: it is not kept at all."""
         if held["status"] in TERMINAL_STATUSES and held["status"] not in CANCELLED:
-            if self.state.exists():
+            return None
+        return int((held["updated_at"] + (self.stale if self._expires(held) else self.keep)).timestamp() * 1000)
+
+    def _hold(self, held: dict, before: dict | None) -> None:
+        """Keep `held` in the place of what the store held; a kept operation has the one timer that follows from it.
+
+        Every call of the store or the timers is a message to the executor, so none is made for what is known.
+        """
+        end, old = self._end(held), None if before is None else self._end(before)
+        if old is not None and old != end:
+            self.handle.deleteTimer(old)
+        if end is None:
+            if before is not None:
                 self.state.clear()
             return
         plain = {n: held[n] if n in ("status", "stage") else held[n].to_pydatetime() if n == "updated_at" else int(held[n]) for n in _STATE.names}
         self.state.update(tuple(plain[n] for n in _STATE.names))
-        end = held["updated_at"] + (self.stale if self._expires(held) else self.keep)
-        self.handle.registerTimer(int(end.timestamp() * 1000))
+        if old != end:
+            self.handle.registerTimer(end)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         last = initialState.sort_values(["updated_at", "event_id"], kind="stable").iloc[-1]
-        self._hold({n: last[n] for n in _STATE.names})
+        self._hold({n: last[n] for n in _STATE.names}, None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held, out, changed = self._held(), [], False
-        events = pd.concat(list(rows)).sort_values(["updated_at", "event_id"], kind="stable")
-        for event in events[_STATE.names].to_dict("records"):
+        before, out, changed = self._held(), [], False
+        held = before
+        events = [dict(zip(_STATE.names, e)) for part in rows for e in zip(*(part[n].tolist() for n in _STATE.names))]
+        for event in sorted(events, key=lambda e: (e["updated_at"], e["event_id"])):
             if held is not None:
                 if (event["updated_at"], event["event_id"]) <= (held["updated_at"], held["event_id"]):
                     continue
@@ -197,7 +210,7 @@ class OperationTracker(StatefulProcessor):
         if changed:
             if not self.every:
                 out.append(held)
-            self._hold(held)
+            self._hold(held, before)
         if out:
             yield pd.DataFrame([[key[0], *(o[n] for n in _STATE.names)] for o in out], columns=OPERATION.names)
 
