@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scholarch.functions.text import trim_ws
 from scholarch.schemas import CHECKS, FOREIGN_KEYS, UNIQUE_KEYS
+from scholarch.session import materialize
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -39,18 +40,40 @@ def audit_unique(tables: dict[str, DataFrame], keys: list[tuple[str, tuple[str,
     return _union(parts)
 
 
+def _id_bits(df: DataFrame, columns: list[tuple[int, str]], side: str) -> DataFrame:
+    """(k, block, side): the whole numbers of the numbered columns, each as one bit of its block of 64 neighbours."""
+    ids = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("long").alias("id")) for k, c in columns]))
+    bit = F.expr("shiftleft(1L, CAST(x.id & 63 AS INT))").alias(side)
+    return df.select(ids.alias("x")).filter("x.id IS NOT NULL").select("x.k", F.shiftright("x.id", 6).alias("block"), bit)
+
+
 def audit_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """(child, column, value, n): non-null references without a parent.
 
-    References are counted per value before the anti join, so a value repeated by very many
-    rows is a single row there.
+    References and parents meet as blocks of 64 neighbouring ids (one aggregate for all keys), so that
+    neither side is sorted or held id by id; ids far apart take a row each, as they would anyway.
+    Only the references found lost are counted, from a second look at the columns that have any.
     """
-    parts = []
-    for child, column, parent, _ in FOREIGN_KEYS:
-        refs = tables[child].filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("value")).agg(F.count("*").alias("n"))
-        lost = refs.join(tables[parent].select(F.col("id").alias("value")), "value", "left_anti")
-        parts.append(lost.select(F.lit(child).alias("child"), F.lit(column).alias("column"), "value", "n"))
-    return _union(parts)
+    referring: dict[str, list] = {}
+    referred: dict[str, list] = {}
+    for k, (child, column, parent, _) in enumerate(FOREIGN_KEYS):
+        referring.setdefault(child, []).append((k, column))
+        referred.setdefault(parent, []).append((k, "id"))
+    refs = _union([_id_bits(tables[t], columns, "refs") for t, columns in referring.items()])
+    ids = _union([_id_bits(tables[t], columns, "ids") for t, columns in referred.items()])
+    met = refs.unionByName(ids, allowMissingColumns=True).groupBy("k", "block").agg(F.bit_or("refs").alias("refs"), F.bit_or("ids").alias("ids"))
+    bits = F.col("refs").bitwiseAND(F.bitwise_not(F.coalesce("ids", F.lit(0).cast("long"))))
+    lost = materialize(met.select("k", "block", bits.alias("bits")).filter("bits <> 0"), "lost-references")
+    found = []
+    for k in sorted(r["k"] for r in lost.select("k").distinct().collect()):  # one row a foreign key at most
+        child, column, _, _ = FOREIGN_KEYS[k]
+        refs = tables[child].select(F.col(column).cast("long").alias("value")).withColumn("block", F.shiftright("value", 6))
+        hit = refs.join(lost.where(F.col("k") == k).select("block", "bits"), "block").filter("shiftright(bits, CAST(value & 63 AS INT)) & 1 = 1")
+        counted = hit.groupBy("value").agg(F.count("*").alias("n"))
+        found.append(counted.select(F.lit(child).alias("child"), F.lit(column).alias("column"), "value", "n"))
+    if not found:
+        return lost.select(F.lit("").alias("child"), F.lit("").alias("column"), F.col("block").alias("value"), F.col("bits").alias("n"))
+    return _union(found)
 
 
 def cascade_delete(tables: dict[str, DataFrame], table: str, doomed: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
