@@ -128,21 +128,23 @@ def load_grades(students: DataFrame, cells: DataFrame, year: str = "annee") -> d
     """Flattened student and module rows as inscription, period and grade tables.
 
     A person is the matricule, else the folded name.  On repeated keys the lowest page wins
-    (aggregates with map-side combine).  Notes outside 0-20 and notes without a code are not graded:
-    they come out as `rejected`, with the reason.
+    (aggregates with map-side combine); `n` counts the rows behind an inscription.  Notes outside
+    0-20 and notes without a code are not graded: they come out as `rejected`, with the reason.
     """
     person = F.coalesce(F.col("matricule"), normalize_text(F.concat_ws(" ", "nom", "prenom"))).alias("etudiant")
     order = F.struct("page_number", "student_index")
     base = students.select(person, F.col(year).alias("annee"), "page_number", "student_index", "avg_s1", "avg_s2", "annual_avg", "annual_rank", "final_decision")
-    inscription = base.groupBy("etudiant", "annee").agg(
-        F.min_by(F.struct("annual_avg", "annual_rank", "final_decision"), order).alias("i")
-    ).select("etudiant", "annee", F.col("i.annual_avg").alias("moy"), F.col("i.annual_rank").alias("rang"), F.col("i.final_decision").alias("decisionJury"))
+    # one aggregate for each value (all take the same row), so that a reader pays for those it reads
+    chosen = [F.min_by(c, order).alias(name) for c, name in (("annual_avg", "moy"), ("annual_rank", "rang"), ("final_decision", "decisionJury"))]
+    inscription = base.groupBy("etudiant", "annee").agg(*chosen, F.count("*").alias("n"))
     halves = F.explode(F.array(F.struct(F.lit("S1").alias("periode"), F.col("avg_s1").alias("moy")), F.struct(F.lit("S2").alias("periode"), F.col("avg_s2").alias("moy"))))
     periods = base.select("*", halves.alias("h")).groupBy("etudiant", "annee", F.col("h.periode").alias("periode")).agg(F.min_by("h.moy", order).alias("moy"))
-    notes = F.explode(F.array(F.struct(F.lit("S1").alias("periode"), F.col("s1").alias("note")), F.struct(F.lit("S2").alias("periode"), F.col("s2").alias("note"))))
+    # numbers and names are worked out inside generators: filters on plain columns would repeat them below
+    notes = F.explode(F.array(*[F.struct(F.lit(half.upper()).alias("periode"), coerce_number(F.col(half)).alias("moy")) for half in ("s1", "s2")]))
     graded = (
-        cells.select(person, F.col(year).alias("annee"), "page_number", "student_index", "pos", "code", notes.alias("x"))
-        .select("*", coerce_number(F.col("x.note")).alias("moy"))
+        cells.select(F.explode(F.array(person)).alias("etudiant"), F.col(year).alias("annee"), "page_number", "student_index", "pos", "code", "s1", "s2")
+        .select("etudiant", "annee", "page_number", "student_index", "pos", "code", notes.alias("x"))
+        .select("*", F.col("x.moy").alias("moy"))
         .filter("moy is not null")
         .withColumn("reason", F.when(F.col("code") == "", "module without a code").when(~F.col("moy").between(0, 20), "note outside 0-20"))
     )

@@ -538,10 +538,8 @@ def load_grades(a):
 )
 def load_grades_inscription(a):
     rows = P.parse_students(a.page().withColumn("annee", F.col("result.annee")), False, "annee")
-    person = F.coalesce(F.col("matricule"), M.normalize_text(F.concat_ws(" ", "nom", "prenom"))).alias("etudiant")
-    counts = rows.select(person, "annee").groupBy("etudiant", "annee").agg(F.count("*").alias("n"))
     cells = P.flatten_modules(rows, "nom", "prenom", "matricule", "annee", "page_number", "student_index")
-    return M.load_grades(rows, cells)["inscription"].select("etudiant", "annee", "moy").join(counts, ["etudiant", "annee"])
+    return M.load_grades(rows, cells)["inscription"].select("etudiant", "annee", "moy", "n")
 
 
 @register(
