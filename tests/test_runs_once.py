@@ -21,3 +21,15 @@ def test_latest_run_comes_with_its_own_columns(spark):
     uploads = spark.createDataFrame([(1, "/a/d.pdf", 2), (2, "/a/d.pdf", 3), (3, "/a/d.pdf", None)], "upload_id long, file_path string, t long").withColumn("started_at", F.timestamp_seconds("t"))
     found = files.scan_runs_latest(runs, uploads, "total_pages").select("upload_id", "run_id", "total_pages").orderBy("upload_id").collect()
     assert [tuple(r) for r in found] == [(1, "d_2", 7), (3, "d_2", 7)]
+
+
+def test_many_run_files_are_listed_in_parts(spark, monkeypatch):
+    """The driver listed and planned all run files at once, however many."""
+    from scholarch.plans import table_queries as T
+
+    whole = sorted(QUERIES["scan_runs_latest"](spark, "/root/testdata/sf0.001").collect())
+    read, real = [], files.scan_runs
+    monkeypatch.setattr(T, "RUN_FILES", 8)
+    monkeypatch.setattr(files, "scan_runs", lambda s, path, after=None: read.append(len(s.read.option("recursiveFileLookup", True).text(path).inputFiles())) or real(s, path, after))
+    assert sorted(QUERIES["scan_runs_latest"](spark, "/root/testdata/sf0.001").collect()) == whole
+    assert len(read) > 1 and max(read) < sum(read) and len(whole) > 0
